@@ -20,6 +20,12 @@ _IS_WORD[128:] = True
 for _c in b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_":
     _IS_WORD[_c] = True
 
+_CLASS = _IS_WORD.astype(np.uint8)
+_MARKS = _CLASS.copy()
+for _c in range(33, 127):
+    if not _IS_WORD[_c]:
+        _MARKS[_c] = 2
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -76,23 +82,27 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of a column of texts: start and end bytes in ``data``, 64-bit hashes, and per row its range of words."""
+    """The words of a column of texts: start and end bytes in ``data``, 64-bit hashes, and per row its range of words.
+
+    With marks, runs of ASCII punctuation are words too.
+    """
 
     __slots__ = ("data", "starts", "ends", "hashes", "first", "rows")
 
-    def __init__(self, column: pa.Array, hashes: bool = True, lower: bool = True):
+    def __init__(self, column: pa.Array, hashes: bool = True, lower: bool = True, marks: bool = False):
         if lower:
             column = pc.utf8_lower(column)
         self.data, offsets = buffers(column)
         self.rows = len(offsets) - 1
         n = len(self.data)
-        inside = np.zeros(n + 2, dtype=bool)
-        inside[1:-1] = _IS_WORD[self.data]
-        is_start, is_end = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+        kind = np.zeros(n + 2, np.uint8)
+        kind[1:-1] = (_MARKS if marks else _CLASS)[self.data]
+        own = kind[1:-1]
+        is_start, is_end = (own > 0) & (own != kind[:-2]), (own > 0) & (own != kind[2:])
         cuts = offsets[1:-1]
         cuts = cuts[(cuts > 0) & (cuts < n)]
-        is_start[cuts] = inside[1:-1][cuts]
-        is_end[cuts - 1] = inside[1:-1][cuts - 1]
+        is_start[cuts] = own[cuts] > 0
+        is_end[cuts - 1] = own[cuts - 1] > 0
         self.starts, self.ends = np.flatnonzero(is_start), np.flatnonzero(is_end) + 1
         self.first = np.searchsorted(self.starts, offsets)
         if hashes:
