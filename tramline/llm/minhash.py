@@ -15,8 +15,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from tramline.llm.shared import discard, store, texts
 from tramline.llm.textnum import Words, mix, pieces, spread, window_hashes
@@ -130,3 +131,20 @@ def near_duplicates(docs: DataFrame, permutations: int = PERMUTATIONS, bands: in
     to_rep = sigs.select("doc_id", "k1", "k2").join(reps.select("k1", "k2", F.col("doc_id").alias("rep")), ["k1", "k2"]).select("doc_id", "rep")
     found = to_rep.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("duplicate_of"))
     return found.groupBy("doc_id").agg(F.min("duplicate_of").alias("duplicate_of")).where("doc_id <> duplicate_of")
+
+
+def kept(docs: DataFrame, permutations: int = PERMUTATIONS, bands: int = BANDS, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns as they are, that stay: one of each group, the one of least doc_id.
+
+    Of several rows of one doc_id the least by text and all other columns that can be ordered stays. Rows without doc_id
+    all stay.
+    """
+    gone = near_duplicates(docs, permutations, bands, shingle, threshold).select("doc_id").distinct().withColumnRenamed("doc_id", "__gone")
+    own = docs.where("doc_id is not null").join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    least = [F.col(f"`{c}`") for c in ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))] if _orderable(docs.schema[c].dataType)]
+    one = own.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(*least))).where("__nth = 1").drop("__nth")
+    return one.unionByName(docs.where("doc_id is null"))
+
+
+def _orderable(kind: DataType) -> bool:
+    return "map<" not in kind.simpleString() and "variant" not in kind.simpleString()

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,21 +109,25 @@ class Patterns:
         return row[sure], begin[sure], pattern[sure]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, least: int = LEAST) -> DataFrame:
-    """(doc_id, item_id, n_windows): in how many places a document has a window of the test item.
+def _passes(docs: DataFrame, benchmark: DataFrame, ngram: int, least: int) -> Iterator[Broadcast]:
+    """The patterns of all test items, as many sets as it takes to keep each below PASS_BYTES.
 
     The test items go to all tasks. They are a fixed evaluation set; their size is measured, and beyond PASS_BYTES
     they are searched in several passes with a part of them each.
     """
-    spark = docs.sparkSession
     tests = texts(benchmark, key="item_id").where("item_id is not null")
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, math.ceil(total / PASS_BYTES))
-    source = texts(docs)
-    out = None
     for k in range(passes):
         share = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k) if passes > 1 else tests
-        sent = spark.sparkContext.broadcast(Patterns([(r.item_id, r.text) for r in share.toLocalIterator()], ngram, least))
+        yield docs.sparkSession.sparkContext.broadcast(Patterns([(r.item_id, r.text) for r in share.toLocalIterator()], ngram, least))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, least: int = LEAST) -> DataFrame:
+    """(doc_id, item_id, n_windows): in how many places a document has a window of the test item."""
+    source = texts(docs)
+    out = None
+    for sent in _passes(docs, benchmark, ngram, least):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             patterns = sent.value
@@ -143,6 +148,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, leas
     return out.groupBy("doc_id", "item_id").agg(F.sum("n_windows").alias("n_windows"))
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, least: int = LEAST) -> DataFrame:
+    """The rows of docs, all columns as they are, without a window of any test item."""
+    for sent in _passes(docs, benchmark, ngram, least):
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in pieces(batch):
+                    row, _, _ = sent.value.search(Words(part.column("text")))
+                    keep = np.ones(part.num_rows, bool)
+                    keep[row] = False
+                    yield part.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def sql(ngram: int = NGRAM, least: int = LEAST) -> str:
     """DuckDB SQL with the rows of contaminated() over documents and benchmark."""
     split = r"regexp_extract_all(lower(coalesce(text, '')), '[0-9A-Za-z_\x{80}-\x{10ffff}]+')"
