@@ -52,5 +52,8 @@ def route_type_of_mode(mode: Column, submode: Column | None = None) -> Column:
 
 def translated(texts: Column, languages: list[str]) -> Column:
     """The text of the first language wanted that texts, an array of structs (language, text) with the default first, have; else the default."""
-    ranked = [F.when(F.exists(texts, lambda x, lang=lang: x["language"] == lang), F.filter(texts, lambda x, lang=lang: x["language"] == lang)[0]["text"]) for lang in languages]
+    def of(language: str) -> Column:
+        return F.try_element_at(F.filter(texts, lambda x: x["language"] == language), F.lit(1))["text"]
+
+    ranked = [of(language) for language in languages]
     return F.coalesce(*ranked, F.when(F.size(texts) > 0, texts[0]["text"]))

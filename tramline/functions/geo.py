@@ -28,10 +28,10 @@ def cell(lat: Column, lng: Column, metres: float, max_lat: float = 80.0) -> tupl
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
     """Whether a point lies in a ring of structs (x, y), by the parity of edges that a ray to the right crosses."""
     n = F.size(ring)
-    edges = F.arrays_zip(ring.alias("a"), F.concat(F.slice(ring, 2, F.greatest(n - 1, F.lit(0))), F.slice(ring, 1, 1)).alias("b"))
+    edges = F.zip_with(ring, F.concat(F.slice(ring, 2, F.greatest(n - 1, F.lit(0))), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
     def crosses(e: Column) -> Column:
-        a, b = e["0"], e["1"]
+        a, b = e["a"], e["b"]
         return F.when(((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.when(b["y"] == a["y"], F.lit(1.0)).otherwise(b["y"] - a["y"]) + a["x"]), 1).otherwise(0)
 
     return F.aggregate(edges, F.lit(0), lambda acc, e: acc + crosses(e)) % 2 == 1

@@ -61,7 +61,7 @@ def nearest_offsets(stops: DataFrame, points: DataFrame) -> DataFrame:
         return F.pow(s["lat"] - p["lat"], 2) + F.pow((s["lng"] - p["lng"]) * F.cos(F.radians(s["lat"])), 2)
 
     def step(acc, s):
-        last = F.coalesce(F.element_at(acc, -1)["offset"], F.lit(0))
+        last = F.coalesce(F.try_element_at(acc, F.lit(-1))["offset"], F.lit(0))
         ranked = F.transform(F.col("points"), lambda p, i: F.when(i >= last, F.struct(far(s, p).alias("d"), i.alias("i"))))
         return F.concat(acc, F.array(F.struct(s["stop_seq"].alias("stop_seq"), F.array_min(ranked)["i"].alias("offset"))))
 

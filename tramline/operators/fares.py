@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.functions.sorted_groups import by_group
+
 _KEYS = ("network_id", "from_area", "to_area", "from_timeframe", "to_timeframe")
 
 
@@ -67,14 +68,13 @@ def transfers(legs: DataFrame, rules: list[dict]) -> DataFrame:
     named_to = {r["to_leg_group"] for r in rules} - {None}
 
     def fits(r: dict, head: dict, a: dict, b: dict) -> bool:
-        if pd.isna(a["leg_group"]) or pd.isna(b["leg_group"]):
+        if a["leg_group"] is None or b["leg_group"] is None:
             return False
         begin, end = r.get("duration_type", "dep_arr").split("_")
         limit = r.get("duration_limit")
         return (limit is None or b[end] - head[begin] <= limit) and (r["from_leg_group"] == a["leg_group"] or r["from_leg_group"] is None and a["leg_group"] not in named_from) and (r["to_leg_group"] == b["leg_group"] or r["to_leg_group"] is None and b["leg_group"] not in named_to)
 
-    def chain(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("position").to_dict("records")
+    def chain(rows: list[dict]) -> list[tuple]:
         out, i, fare = [], 0, 0
         while i < len(rows):
             own, rule = [rows[i]], None
@@ -89,6 +89,6 @@ def transfers(legs: DataFrame, rules: list[dict]) -> DataFrame:
             out += [(x["journey_id"], fare, x["position"], rule) for x in own]
             # The last leg of a chain may begin the next one.
             i += max(1, len(own) - 1) if len(own) > 1 and i + len(own) < len(rows) else len(own)
-        return pd.DataFrame(out, columns=["journey_id", "fare", "position", "rule"]).astype({"rule": "Int64"})
+        return out
 
-    return legs.groupBy("journey_id").applyInPandas(chain, "journey_id long, fare long, position long, rule long")
+    return by_group(legs.select("journey_id", "position", "src", "leg_group", "dep", "arr"), ["journey_id"], ["position"], chain, "journey_id long, fare long, position long, rule long")

@@ -76,7 +76,8 @@ def rounds(search: Search, starts: DataFrame, most: int = MAX_TRANSFERS + 1) ->
     begin = starts.groupBy("query_id").agg(F.min("time").alias("begin"))
     frontier = written(starts.groupBy("query_id", "location_id").agg(F.min("time").alias("time")).withColumn("via", F.lit(0)), "frontier")
     begin = written(begin, "begin")
-    best_board = best_arr = None
+    key = ["query_id", "via", "location_id"]
+    best_board = best_arr = frontier.select(*key, F.col("time").alias("best"))
     found: list[DataFrame] = []
     vias = None
     if search.vias:
@@ -105,7 +106,8 @@ def rounds(search: Search, starts: DataFrame, most: int = MAX_TRANSFERS + 1) ->
         if vias is not None:
             stay = arrived.join(F.broadcast(vias), ["via", "location_id"]).select("query_id", (F.col("via") + 1).alias("via"), "location_id", (F.col("arr") + F.col("stay")).alias("arr"), *legs)
             arrived = arrived.unionByName(stay).groupBy("query_id", "via", "location_id").agg(F.min(F.struct("arr", *legs)).alias("x")).select("query_id", "via", "location_id", "x.*")
-        arrived = written(arrived, "arrived")
+        # A ride counts only where it comes earlier than any label before, the starts among them; else one can't walk on from it either.
+        arrived = written(arrived.join(best_arr.withColumnRenamed("best", "__best"), key, "left").where("__best is null or arr < __best").drop("__best"), "arrived")
         walked = arrived.join(walks, "location_id").select("query_id", "via", F.col("to_id").alias("location_id"), (F.col("arr") + search._walk(F.col("minutes"))).alias("arr"), *legs, F.col("location_id").alias("walk_from"))
         if search.td_edges is not None:
             from tramline.operators.matching import td_forward
@@ -118,17 +120,16 @@ def rounds(search: Search, starts: DataFrame, most: int = MAX_TRANSFERS + 1) ->
         change = arrived.join(transfer, "location_id").select("query_id", "via", "location_id", (F.col("arr") + search._walk(F.col("minutes"))).alias("arr"), *legs, F.lit(None).cast("long").alias("walk_from"))
         there = _least(arrived.withColumn("walk_from", F.lit(None).cast("long")).unionByName(walked), legs)
         ready = _least(change.unionByName(walked), legs).withColumnRenamed("arr", "time")
-        key = ["query_id", "via", "location_id"]
-        if best_arr is not None:
-            there = there.join(best_arr.withColumnRenamed("best", "__best"), key, "left").where("__best is null or arr < __best").drop("__best")
-            ready = ready.join(best_board.withColumnRenamed("best", "__best"), key, "left").where("__best is null or time < __best").drop("__best")
+        there = there.join(best_arr.withColumnRenamed("best", "__best"), key, "left").where("__best is null or arr < __best").drop("__best")
+        ready = ready.join(best_board.withColumnRenamed("best", "__best"), key, "left").where("__best is null or time < __best").drop("__best")
         there, frontier = written(there.withColumn("round", F.lit(k)), "labels"), written(ready.withColumn("round", F.lit(k)), "frontier")
         found += [there.withColumn("kind", F.lit("arrive")), frontier.withColumnRenamed("time", "arr").withColumn("kind", F.lit("board"))]
+        frontier = frontier.select("query_id", "via", "location_id", "time")
         if k == most or frontier.isEmpty():
             break
         new_arr, new_board = there.select(*key, F.col("arr").alias("best")), frontier.select(*key, F.col("time").alias("best"))
-        best_arr = new_arr if best_arr is None else best_arr.unionByName(new_arr).groupBy(*key).agg(F.min("best").alias("best"))
-        best_board = new_board if best_board is None else best_board.unionByName(new_board).groupBy(*key).agg(F.min("best").alias("best"))
+        best_arr = best_arr.unionByName(new_arr).groupBy(*key).agg(F.min("best").alias("best"))
+        best_board = best_board.unionByName(new_board).groupBy(*key).agg(F.min("best").alias("best"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tramline.functions.sorted_groups import by_group
+
 WEIGHTS = (1.0, 1.0, 30.0)
 WORST, BEST = 2.2250738585072014e-308, 1.7976931348623157e308
 
@@ -58,8 +59,8 @@ def ratings(a: DataFrame, b: DataFrame) -> DataFrame:
     """(query_id, rating) for result sets (query_id, dep, arr, transfers); each query's two sets meet in one task."""
     both = a.select("query_id", "dep", "arr", "transfers", F.lit(0).alias("side")).unionByName(b.select("query_id", "dep", "arr", "transfers", F.lit(1).alias("side")))
 
-    def rate(group: pd.DataFrame) -> pd.DataFrame:
-        sides = [sorted((-float(r.dep), float(r.arr), float(r.transfers)) for r in group[group["side"] == s].itertuples()) for s in (0, 1)]
-        return pd.DataFrame({"query_id": [group["query_id"].iloc[0]], "rating": [rating(*sides)]})
+    def rate(rows: list[dict]) -> list[tuple]:
+        sides = [sorted((-float(r["dep"]), float(r["arr"]), float(r["transfers"])) for r in rows if r["side"] == s) for s in (0, 1)]
+        return [(rows[0]["query_id"], rating(*sides))]
 
-    return both.groupBy("query_id").applyInPandas(rate, "query_id long, rating double")
+    return by_group(both, ["query_id"], ["side"], rate, "query_id long, rating double")

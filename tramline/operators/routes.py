@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.functions.sorted_groups import by_group
+
 #: Weights by position; further classes weigh nothing.
 CLASS_WEIGHT = (20, 20, 20, 20, 20, 16, 15, 10, 10, 3, 2, 10, 1)
 
@@ -25,25 +26,25 @@ def without_overtaking(stop_events: DataFrame, keys: DataFrame) -> DataFrame:
     """
     times = stop_events.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("stop_seq", "arr", "dep"))).alias("e")).select("trip_id", F.expr("transform(e, x -> x.arr)").alias("arr"), F.expr("transform(e, x -> x.dep)").alias("dep"))
 
-    def split(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(first=[d[0] for d in group["dep"]]).sort_values(["first", "trip_id"])
+    def split(rows: list[dict]) -> list[tuple]:
         lanes: list[list[tuple[int, ...]]] = []
         out = []
-        for arr, dep in zip(group["arr"], group["dep"], strict=True):
+        for row in rows:
             # Compared modulo a day, by the first departure; times behind it keep their distance.
-            shift = dep[0] // 1440 * 1440
-            own = tuple(t - shift for pair in zip(arr, dep, strict=True) for t in pair)
+            shift = row["dep"][0] // 1440 * 1440
+            own = tuple(t - shift for pair in zip(row["arr"], row["dep"], strict=True) for t in pair)
             for k, lane in enumerate(lanes):
                 if all(all(a <= b for a, b in zip(x, own, strict=True)) or all(a >= b for a, b in zip(x, own, strict=True)) for x in lane):
                     lane.append(own)
-                    out.append(k)
+                    out.append((row["trip_id"], row["route_key"], k))
                     break
             else:
                 lanes.append([own])
-                out.append(len(lanes) - 1)
-        return pd.DataFrame({"trip_id": group["trip_id"], "route_key": group["route_key"], "sub_route": out})
+                out.append((row["trip_id"], row["route_key"], len(lanes) - 1))
+        return out
 
-    return keys.join(times, "trip_id").groupBy("route_key").applyInPandas(split, "trip_id long, route_key string, sub_route long")
+    rows = keys.join(times, "trip_id").withColumn("first", F.col("dep")[0])
+    return by_group(rows, ["route_key"], ["first", "trip_id"], split, "trip_id long, route_key string, sub_route long")
 
 
 def flags(stop_events: DataFrame, flag: str, route: str = "route_id") -> DataFrame:
@@ -115,21 +116,21 @@ def seated_paths(links: DataFrame, trips: DataFrame) -> DataFrame:
 
     labels = components(links.select(F.col("from_trip").alias("a"), F.col("to_trip").alias("b")))
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
+    def walk(rows: list[dict]) -> list[tuple]:
         after: dict[int, list[int]] = {}
-        for a, b in zip(group["from_trip"], group["to_trip"], strict=True):
-            after.setdefault(a, []).append(b)
-        starts = sorted(set(group["from_trip"]) - set(group["to_trip"]))
+        for row in rows:
+            after.setdefault(row["from_trip"], []).append(row["to_trip"])
+        starts = sorted(set(after) - {row["to_trip"] for row in rows})
         found, stack = [], [[s] for s in reversed(starts)]
         while stack:
             path = stack.pop()
-            onward = [n for n in sorted(after.get(path[-1], []), reverse=True) if n not in path]
             if path[-1] not in after:
-                found.append(path)
-            stack += [[*path, n] for n in onward]
-        return pd.DataFrame({"first_trip": [p[0] for p in found], "last_trip": [p[-1] for p in found], "trips": [",".join(map(str, p)) for p in found]}, columns=["first_trip", "last_trip", "trips"])
+                found.append((path[0], path[-1], ",".join(map(str, path))))
+            stack += [[*path, n] for n in sorted(after.get(path[-1], []), reverse=True) if n not in path]
+        return found
 
-    return links.join(labels.select(F.col("node").alias("from_trip"), "label"), "from_trip").join(trips.select(F.col("trip_id").alias("from_trip")), "from_trip", "left_semi").groupBy("label").applyInPandas(walk, "first_trip long, last_trip long, trips string")
+    known = links.join(labels.select(F.col("node").alias("from_trip"), "label"), "from_trip").join(trips.select(F.col("trip_id").alias("from_trip")), "from_trip", "left_semi")
+    return by_group(known.select("label", "from_trip", "to_trip"), ["label"], ["from_trip", "to_trip"], walk, "first_trip long, last_trip long, trips string")
 
 
 def seam(stop_events: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -1 +1,98 @@
-"""x"""
+"""Queries of updates in real time, in batch."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tramline.operators import realtime
+from tramline.plans.derived import Derived
+from tramline.plans.registry import query
+
+_LATEST = "m AS (SELECT trip_id, stop_seq, arg_max(delay, (ts, event_id)) AS delay, arg_max(kind, (ts, event_id)) AS kind, max(ts) AS ts FROM updates GROUP BY 1, 2)"
+
+
+def _latest(d: Derived) -> DataFrame:
+    return realtime.latest(d.updates, ["trip_id", "stop_seq"])
+
+
+@query("updates", _LATEST + " SELECT trip_id, stop_seq, delay, kind FROM m")
+def event_feed_latest(d: Derived) -> DataFrame:
+    """The last message of a stop counts, in whatever order they come."""
+    return _latest(d).select("trip_id", "stop_seq", "delay", "kind")
+
+
+_OVERLAY = _LATEST + """, gone AS (SELECT trip_id, bool_or(kind = 'purchase') AS gone FROM m GROUP BY 1),
+    r AS (SELECT s.trip_id, s.stop_seq, s.location_id, s.arr, s.dep, s.in_allowed, s.out_allowed, gone, coalesce(kind = 'error', false) AS skipped,
+        coalesce(last_value(CASE WHEN kind <> 'error' THEN delay END IGNORE NULLS) OVER (PARTITION BY s.trip_id ORDER BY s.stop_seq), 0) AS lag_ FROM events_on s JOIN gone USING (trip_id) LEFT JOIN m USING (trip_id, stop_seq)),
+    t AS (SELECT *, arr + lag_ AS a, greatest(dep + lag_, arr + lag_) AS d, count(*) FILTER (NOT skipped) OVER (PARTITION BY trip_id) AS n FROM r),
+    u AS (SELECT *, greatest(a, coalesce(max(d) OVER (PARTITION BY trip_id ORDER BY stop_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a)) AS a2 FROM t),
+    o AS (SELECT trip_id, stop_seq, a2::BIGINT AS arr, max(greatest(d, a2)) OVER (PARTITION BY trip_id ORDER BY stop_seq)::BIGINT AS dep, gone OR n <= 1 AS cancelled, skipped, in_allowed, out_allowed FROM u)"""
+
+
+def _overlay(d: Derived) -> DataFrame:
+    own = _latest(d).select("trip_id", "stop_seq", "delay", (F.col("kind") == "error").alias("skipped"), (F.col("kind") == "purchase").alias("cancelled"))
+    return realtime.overlay(d.events_on, own)
+
+
+@query("events_on updates", _OVERLAY + " SELECT trip_id, stop_seq, arr, dep, in_allowed AND NOT skipped AND NOT cancelled AS in_allowed, cancelled FROM o")
+def rt_overlay_events(d: Derived) -> DataFrame:
+    return _overlay(d).select("trip_id", "stop_seq", "arr", "dep", "in_allowed", "cancelled")
+
+
+@query("events_on updates", _OVERLAY + " SELECT trip_id, bool_or(cancelled) AS cancelled, count(*) AS stops FROM o GROUP BY trip_id")
+def rt_cancel_rule(d: Derived) -> DataFrame:
+    return _overlay(d).groupBy("trip_id").agg(F.bool_or("cancelled").alias("cancelled"), F.count("*").alias("stops"))
+
+
+@query("events_on updates", _OVERLAY + " SELECT trip_id, stop_seq, dep FROM events_on ANTI JOIN o USING (trip_id) UNION ALL SELECT trip_id, stop_seq, dep FROM o WHERE NOT cancelled")
+def rt_timetable(d: Derived) -> DataFrame:
+    return realtime.applied(d.events_on, _overlay(d)).select("trip_id", "stop_seq", "dep")
+
+
+@query("events_on updates", _OVERLAY + ", b AS (SELECT trip_id, stop_seq, o.arr - e.arr AS x, o.dep - e.dep AS y FROM o JOIN events_on e USING (trip_id, stop_seq)) SELECT trip_id, stop_seq, 'arr' AS event, x::BIGINT AS delay FROM b WHERE x <> 0 UNION ALL SELECT trip_id, stop_seq, 'dep', y FROM b WHERE y <> 0")
+def rt_change_feed(d: Derived) -> DataFrame:
+    return realtime.changes(d.events_on, _overlay(d))
+
+
+@query("updates", "SELECT kind, count(*) AS messages, count(DISTINCT trip_id) AS trips, sum(CASE WHEN delay > 0 THEN 1 ELSE 0 END)::BIGINT AS late FROM updates GROUP BY kind")
+def rt_statistics(d: Derived) -> DataFrame:
+    return realtime.statistics(d.updates)
+
+
+@query("stop_times locations", """x AS (SELECT trip_id, lat, lng, greatest((arr - lag(dep) OVER w) * 60, 60) AS sec, lag(lat) OVER w AS la, lag(lng) OVER w AS lo FROM stop_times JOIN locations USING (location_id) WHERE trip_id % 3 = 0 WINDOW w AS (PARTITION BY trip_id ORDER BY stop_seq)),
+    v AS (SELECT trip_id, count(*) AS stops, max(2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lng - lo) / 2), 2)))) / sec) AS top FROM x GROUP BY 1)
+    SELECT trip_id, stops FROM v WHERE stops >= 2 AND coalesce(top, 0) <= 20""")
+def rt_added_speed_check(d: Derived) -> DataFrame:
+    own = d.stop_times.where("trip_id % 3 = 0").select("trip_id", "stop_seq", "location_id", "arr", "dep")
+    return realtime.plausible(own, d.locations, 20.0)
+
+
+@query("updates stop_times locations", """p AS (SELECT event_id, trip_id, 48 + event_id % 97 / 1000.0::DOUBLE AS y, 8 + event_id % 89 / 1000.0::DOUBLE AS x, 400 + event_id % 600 AS minute FROM updates WHERE kind = 'view'),
+    n AS (SELECT event_id, trip_id, minute, min({'far': round(2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - y) / 2), 2) + cos(radians(y)) * cos(radians(lat)) * pow(sin(radians(lng - x) / 2), 2)))), 3), 'stop_seq': stop_seq, 'arr': arr}) AS m
+        FROM p JOIN stop_times USING (trip_id) JOIN locations USING (location_id) GROUP BY 1, 2, 3) SELECT event_id, trip_id, m.stop_seq AS stop_seq, (minute - m.arr)::BIGINT AS delay FROM n""")
+def vehicle_positions(d: Derived) -> DataFrame:
+    k = F.col("event_id")
+    own = d.updates.where("kind = 'view'").select(k, "trip_id", (48 + k % 97 / F.lit(1000.0)).alias("lat"), (8 + k % 89 / F.lit(1000.0)).alias("lng"), (400 + k % 600).alias("minute"))
+    return realtime.vehicle_delays(own, d.stop_times, d.locations)
+
+
+@query("updates trips service_days", """u AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN trip_id END AS trip_id, trip_id % 50 AS route_id, (trip_id * 37) % 1200 + 1440 AS start_time, event_id % 14 AS day FROM updates WHERE kind = 'signup'), t AS (SELECT trip_id, route_id, (trip_id * 37) % 1200 AS s FROM trips),
+    r AS (SELECT event_id, t.trip_id, u.day FROM u JOIN t USING (trip_id) UNION ALL SELECT event_id, t.trip_id, u.day FROM u JOIN t ON u.trip_id IS NULL AND t.route_id = u.route_id AND t.s % 1440 = u.start_time % 1440)
+    SELECT event_id, trip_id, day FROM r SEMI JOIN service_days USING (trip_id, day)""")
+def resolve_runs(d: Derived) -> DataFrame:
+    k = F.col("event_id")
+    own = d.updates.where("kind = 'signup'").select("event_id", F.when(k % 3 != 0, F.col("trip_id")).alias("trip_id"), (F.col("trip_id") % 50).alias("route_id"), ((F.col("trip_id") * 37) % 1200 + 1440).alias("start_time"), (k % 14).alias("day"))
+    trips = d.trips.select("trip_id", "route_id", ((F.col("trip_id") * 37) % 1200).alias("start_time"))
+    return realtime.resolved(own, trips, d.service_days).select("event_id", "trip_id", "day")
+
+
+@query("updates stop_times", """u AS (SELECT event_id, trip_id, event_id % 10 AS position, CASE WHEN event_id % 2 = 0 THEN stop_seq END AS stop_seq, event_id * 7 % (SELECT count(*) FROM supplier) AS location_id FROM updates),
+    b AS (SELECT event_id, u.trip_id, position, u.stop_seq FROM u JOIN stop_times s ON s.trip_id = u.trip_id AND s.stop_seq = u.stop_seq),
+    f AS (SELECT u.event_id, u.trip_id, u.location_id, max(b.stop_seq) AS after FROM u LEFT JOIN b ON b.trip_id = u.trip_id AND b.position < u.position WHERE u.stop_seq IS NULL GROUP BY 1, 2, 3)
+    SELECT event_id, trip_id, stop_seq FROM b UNION ALL SELECT f.event_id, f.trip_id, min(s.stop_seq) FROM f JOIN stop_times s ON s.trip_id = f.trip_id AND s.location_id = f.location_id AND (after IS NULL OR s.stop_seq > after) GROUP BY ALL""")
+def match_stop_updates(d: Derived) -> DataFrame:
+    count = d.table("supplier").agg(F.count("*").alias("n"))
+    k = F.col("event_id")
+    own = d.updates.crossJoin(F.broadcast(count)).select("event_id", "trip_id", (k % 10).alias("position"), F.when(k % 2 == 0, F.col("stop_seq")).alias("stop_seq"), (k * 7 % F.col("n")).alias("location_id"))
+    return realtime.matched_stops(own, d.stop_times).select("event_id", "trip_id", "stop_seq")
