@@ -11,7 +11,8 @@ EARTH_M, DEGREE_M, WALK_M_S = 6371000.0, 111320.0, 1.5
 def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Great-circle distance in metres."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    # Not least(): that skips nulls, and an unknown place would lie half around the world.
+    return 2 * EARTH_M * F.asin(F.sqrt(F.when(a > 1.0, 1.0).otherwise(a)))
 
 
 def walk_minutes(metres: Column) -> Column:

@@ -61,7 +61,7 @@ def rt_statistics(d: Derived) -> DataFrame:
 
 
 @query("stop_times locations", """x AS (SELECT trip_id, lat, lng, greatest((arr - lag(dep) OVER w) * 60, 60) AS sec, lag(lat) OVER w AS la, lag(lng) OVER w AS lo FROM stop_times JOIN locations USING (location_id) WHERE trip_id % 3 = 0 WINDOW w AS (PARTITION BY trip_id ORDER BY stop_seq)),
-    v AS (SELECT trip_id, count(*) AS stops, max(2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lng - lo) / 2), 2)))) / sec) AS top FROM x GROUP BY 1)
+    v AS (SELECT trip_id, count(*) AS stops, max(CASE WHEN la IS NOT NULL THEN 2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lng - lo) / 2), 2)))) / sec END) AS top FROM x GROUP BY 1)
     SELECT trip_id, stops FROM v WHERE stops >= 2 AND coalesce(top, 0) <= 20""")
 def rt_added_speed_check(d: Derived) -> DataFrame:
     own = d.stop_times.where("trip_id % 3 = 0").select("trip_id", "stop_seq", "location_id", "arr", "dep")
