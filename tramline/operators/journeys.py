@@ -1,8 +1,8 @@
 """Round-based journey search over label tables; one run answers many queries at once.
 
 Stop events are (trip_id, stop_seq, location_id, arr, dep, in_allowed, out_allowed) with absolute minutes. In each round,
-labels board trips, ride to all later stops, and change there or walk on. What a round leaves is written to the
-folder that all executors share; only labels that became better go into the next round, and the loop ends without any.
+labels board trips, ride to all later stops, and change there or walk on. A round is one job, and what it leaves is written to
+the folder that all executors share; only labels that became better go into the next round, and the loop ends without any.
 """
 
 from __future__ import annotations
@@ -77,7 +77,8 @@ def rounds(search: Search, starts: DataFrame, most: int = MAX_TRANSFERS + 1) ->
     frontier = written(starts.groupBy("query_id", "location_id").agg(F.min("time").alias("time")).withColumn("via", F.lit(0)), "frontier")
     begin = written(begin, "begin")
     key = ["query_id", "via", "location_id"]
-    best_board = best_arr = frontier.select(*key, F.col("time").alias("best"))
+    kinds = F.explode(F.array(F.lit("arrive"), F.lit("board"))).alias("kind")
+    best = frontier.select("*", kinds).select("kind", *key, F.col("time").alias("best"))
     found: list[DataFrame] = []
     vias = None
     if search.vias:
@@ -107,7 +108,7 @@ def rounds(search: Search, starts: DataFrame, most: int = MAX_TRANSFERS + 1) ->
             stay = arrived.join(F.broadcast(vias), ["via", "location_id"]).select("query_id", (F.col("via") + 1).alias("via"), "location_id", (F.col("arr") + F.col("stay")).alias("arr"), *legs)
             arrived = arrived.unionByName(stay).groupBy("query_id", "via", "location_id").agg(F.min(F.struct("arr", *legs)).alias("x")).select("query_id", "via", "location_id", "x.*")
         # A ride counts only where it comes earlier than any label before, the starts among them; else one can't walk on from it either.
-        arrived = written(arrived.join(best_arr.withColumnRenamed("best", "__best"), key, "left").where("__best is null or arr < __best").drop("__best"), "arrived")
+        arrived = arrived.join(best.where("kind = 'arrive'").select(*key, "best"), key, "left").where("best is null or arr < best").drop("best")
         walked = arrived.join(walks, "location_id").select("query_id", "via", F.col("to_id").alias("location_id"), (F.col("arr") + search._walk(F.col("minutes"))).alias("arr"), *legs, F.col("location_id").alias("walk_from"))
         if search.td_edges is not None:
             from tramline.operators.matching import td_forward
@@ -117,29 +118,26 @@ def rounds(search: Search, starts: DataFrame, most: int = MAX_TRANSFERS + 1) ->
             more = asked.join(td, ["query_id", "from_id", "time"]).select("query_id", "via", F.col("to_id").alias("location_id"), (F.col("time") + F.col("minutes")).alias("arr"), *legs, F.col("from_id").alias("walk_from"))
             # A stop with time-dependent walks has no other ones.
             walked = walked.join(search.td_edges.select(F.col("from_id").alias("walk_from")).distinct(), "walk_from", "left_anti").unionByName(more)
-        change = arrived.join(transfer, "location_id").select("query_id", "via", "location_id", (F.col("arr") + search._walk(F.col("minutes"))).alias("arr"), *legs, F.lit(None).cast("long").alias("walk_from"))
-        there = _least(arrived.withColumn("walk_from", F.lit(None).cast("long")).unionByName(walked), legs)
-        ready = _least(change.unionByName(walked), legs).withColumnRenamed("arr", "time")
-        there = there.join(best_arr.withColumnRenamed("best", "__best"), key, "left").where("__best is null or arr < __best").drop("__best")
-        ready = ready.join(best_board.withColumnRenamed("best", "__best"), key, "left").where("__best is null or time < __best").drop("__best")
-        there, frontier = written(there.withColumn("round", F.lit(k)), "labels"), written(ready.withColumn("round", F.lit(k)), "frontier")
-        found += [there.withColumn("kind", F.lit("arrive")), frontier.withColumnRenamed("time", "arr").withColumn("kind", F.lit("board"))]
-        frontier = frontier.select("query_id", "via", "location_id", "time")
+        change = arrived.join(transfer, "location_id").select("query_id", "via", "location_id", (F.col("arr") + search._walk(F.col("minutes"))).alias("arr"), *legs)
+        no_walk = F.lit(None).cast("long").alias("walk_from")
+        both = arrived.select("*", no_walk, F.lit("arrive").alias("kind")).unionByName(change.select("*", no_walk, F.lit("board").alias("kind"))).unionByName(walked.select("*", kinds))
+        better = _least(both, ["kind", *key], legs).join(best, ["kind", *key], "left").where("best is null or arr < best").drop("best")
+        labels = written(better.withColumn("round", F.lit(k)), "labels")
+        found.append(labels)
+        frontier = labels.where("kind = 'board'").select(*key, F.col("arr").alias("time"))
         if k == most or frontier.isEmpty():
             break
-        new_arr, new_board = there.select(*key, F.col("arr").alias("best")), frontier.select(*key, F.col("time").alias("best"))
-        best_arr = best_arr.unionByName(new_arr).groupBy(*key).agg(F.min("best").alias("best"))
-        best_board = best_board.unionByName(new_board).groupBy(*key).agg(F.min("best").alias("best"))
+        best = best.unionByName(labels.select("kind", *key, F.col("arr").alias("best"))).groupBy("kind", *key).agg(F.min("best").alias("best"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return out.select("query_id", "via", "round", "kind", "location_id", "arr", *legs, "walk_from")
 
 
-def _least(rows: DataFrame, legs: list[str]) -> DataFrame:
-    """The earliest row of each label; of equal ones that without a walk, then by stop and ride."""
-    one = rows.groupBy("query_id", "via", "location_id").agg(F.min(F.struct("arr", F.coalesce("walk_from", F.lit(-1).cast("long")).alias("walk"), *legs)).alias("x"))
-    return one.select("query_id", "via", "location_id", "x.arr", *(f"x.{c}" for c in legs), F.when(F.col("x.walk") >= 0, F.col("x.walk")).alias("walk_from"))
+def _least(rows: DataFrame, key: list[str], legs: list[str]) -> DataFrame:
+    """The earliest row of each key; of equal ones that without a walk, then by stop and ride."""
+    one = rows.groupBy(*key).agg(F.min(F.struct("arr", F.coalesce("walk_from", F.lit(-1).cast("long")).alias("walk"), *legs)).alias("x"))
+    return one.select(*key, "x.arr", *(f"x.{c}" for c in legs), F.when(F.col("x.walk") >= 0, F.col("x.walk")).alias("walk_from"))
 
 
 def one_to_all(labels: DataFrame, most: int | None = None, vias: int = 0) -> DataFrame:
