@@ -22,7 +22,7 @@ from pyspark.sql.types import DataType
 from tramline.llm.shared import discard, store, texts
 from tramline.llm.textnum import Words, mix, pieces, spread, window_hashes
 
-PERMUTATIONS, BANDS, SHINGLE, THRESHOLD = 128, 32, 3, 0.5
+PERMUTATIONS, BANDS, SHINGLE, THRESHOLD = 192, 48, 3, 0.45
 _random = np.random.Generator(np.random.PCG64(7))
 _A = _random.integers(0, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.integers(0, 1 << 63, 1024, dtype=np.uint64)
