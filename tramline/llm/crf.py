@@ -2,7 +2,7 @@
 
 Each word has affix features (first and last one to four bytes), byte n-grams of one to four, a lexicon feature (the
 word itself) and its shape; transitions between neighbouring labels are learnt with them. Labels are the languages of
-the training rows and OTHER, for words with a digit or a line of one repeated byte. A chain is a line of text. Words are
+the training rows and OTHER, for words with a digit; made lines of numbers and codes are trained with them. A chain is a line of text. Words are
 labelled by their marginals from forward-backward; chains of a batch run side by side, and chains longer than BLOCK words are
 cut into blocks whose transfer matrices give the exact messages at the cuts.
 
@@ -154,6 +154,13 @@ def marginals(scores: np.ndarray, transitions: np.ndarray, first: np.ndarray, bl
     return _normal(forward * backward), forward, backward
 
 
+def _numbers(lines: int = 60) -> list[str]:
+    """Made lines of numbers and codes, so that OTHER is learnt whatever the training rows hold."""
+    random = np.random.Generator(np.random.PCG64(11))
+    kinds = (lambda: str(random.integers(0, 10 ** int(random.integers(1, 12)))), lambda: f"{random.integers(1, 1 << 62):x}"[: int(random.integers(2, 16))], lambda: f"{random.integers(1, 32)}{random.choice(list('abcx'))}{random.integers(0, 99)}")
+    return [" ".join(kinds[int(random.integers(0, 3))]() for _ in range(int(random.integers(1, 9)))) for _ in range(lines)]
+
+
 def train(sentences: list[tuple[str, int]], labels: list[str], bits: int = BITS, epochs: int = EPOCHS, batch: int = 128) -> Model:
     """A model of chains (text, label of all its words but those with a digit), by AdaGrad on the log likelihood.
 
@@ -161,6 +168,7 @@ def train(sentences: list[tuple[str, int]], labels: list[str], bits: int = BITS,
     """
     model = Model(labels, bits)
     k = len(labels)
+    sentences = [*sentences, *((line, k - 1) for line in _numbers())] if sentences else []
     words = Words(pa.array([t for t, _ in sentences], pa.string()))
     if not len(words.starts):
         return model
