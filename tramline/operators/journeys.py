@@ -30,7 +30,7 @@ class Search:
     locations: DataFrame
     footpaths: DataFrame
     td_edges: DataFrame | None = None
-    vias: Sequence[tuple[int, int]] = ()
+    vias: Sequence[tuple[int | str, int]] = ()
     class_mask: int | None = None
     section_flag: str | None = None
     least_transfer: int = 0
@@ -81,8 +81,9 @@ def rounds(search: Search, starts: DataFrame, most: int = MAX_TRANSFERS + 1) ->
     best = frontier.select("*", kinds).select("kind", *key, F.col("time").alias("best"))
     found: list[DataFrame] = []
     vias = None
+    at_type = events.schema["location_id"].dataType.simpleString()
     if search.vias:
-        vias = starts.sparkSession.createDataFrame([(i, int(at), int(stay)) for i, (at, stay) in enumerate(search.vias)], "via int, location_id long, stay int")
+        vias = starts.sparkSession.createDataFrame([(i, at, int(stay)) for i, (at, stay) in enumerate(search.vias)], f"via int, location_id {at_type}, stay int")
     transfer = search.locations.select("location_id", F.col("transfer_min").alias("minutes"))
     walks = search.footpaths.select(F.col("from_id").alias("location_id"), "to_id", "minutes")
     for k in range(1, most + 1):
@@ -119,7 +120,7 @@ def rounds(search: Search, starts: DataFrame, most: int = MAX_TRANSFERS + 1) ->
             # A stop with time-dependent walks has no other ones.
             walked = walked.join(search.td_edges.select(F.col("from_id").alias("walk_from")).distinct(), "walk_from", "left_anti").unionByName(more)
         change = arrived.join(transfer, "location_id").select("query_id", "via", "location_id", (F.col("arr") + search._walk(F.col("minutes"))).alias("arr"), *legs)
-        no_walk = F.lit(None).cast("long").alias("walk_from")
+        no_walk = F.lit(None).cast(at_type).alias("walk_from")
         both = arrived.select("*", no_walk, F.lit("arrive").alias("kind")).unionByName(change.select("*", no_walk, F.lit("board").alias("kind"))).unionByName(walked.select("*", kinds))
         better = _least(both, ["kind", *key], legs).join(best, ["kind", *key], "left").where("best is null or arr < best").drop("best")
         labels = written(better.withColumn("round", F.lit(k)), "labels")
@@ -136,8 +137,8 @@ def rounds(search: Search, starts: DataFrame, most: int = MAX_TRANSFERS + 1) ->
 
 def _least(rows: DataFrame, key: list[str], legs: list[str]) -> DataFrame:
     """The earliest row of each key; of equal ones that without a walk, then by stop and ride."""
-    one = rows.groupBy(*key).agg(F.min(F.struct("arr", F.coalesce("walk_from", F.lit(-1).cast("long")).alias("walk"), *legs)).alias("x"))
-    return one.select(*key, "x.arr", *(f"x.{c}" for c in legs), F.when(F.col("x.walk") >= 0, F.col("x.walk")).alias("walk_from"))
+    one = rows.groupBy(*key).agg(F.min(F.struct("arr", F.col("walk_from").isNotNull().alias("walked"), "walk_from", *legs)).alias("x"))
+    return one.select(*key, "x.arr", *(f"x.{c}" for c in legs), "x.walk_from")
 
 
 def one_to_all(labels: DataFrame, most: int | None = None, vias: int = 0) -> DataFrame:
@@ -174,16 +175,17 @@ def profile(search: Search, offsets: DataFrame, targets: DataFrame, begin: int,
         end += extend
 
 
-def ping_pong(search: Search, start: int, target: int, begin: int, most: int = 3) -> DataFrame:
+def ping_pong(search: Search, start: int | str, target: int | str, begin: int, most: int = 3) -> DataFrame:
     """(transfers, dep, arr): for each number of transfers the earliest arrival from begin on, and the latest departure for it."""
     spark = search.stop_events.sparkSession
-    ahead = rounds(search, spark.createDataFrame([(0, start, begin)], "query_id long, location_id long, time long"), most)
-    best = ahead.where(f"kind = 'arrive' and location_id = {target} and via = {len(search.vias)}").select("round", "arr").collect()  # a row a round at most
+    schema = f"query_id long, location_id {search.stop_events.schema['location_id'].dataType.simpleString()}, time long"
+    ahead = rounds(search, spark.createDataFrame([(0, start, begin)], schema), most)
+    best = ahead.where((F.col("kind") == "arrive") & (F.col("location_id") == target) & (F.col("via") == len(search.vias))).select("round", "arr").collect()  # a row a round at most
     back = Search(mirrored(search.stop_events), search.locations, search.footpaths.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "minutes"), class_mask=search.class_mask, least_transfer=search.least_transfer, additional_transfer=search.additional_transfer, transfer_factor=search.transfer_factor, max_travel=search.max_travel, vias=tuple(reversed(search.vias)))
     if not best:
         return spark.createDataFrame([], "transfers int, dep long, arr long")
-    starts = spark.createDataFrame([(r["round"], target, -r["arr"]) for r in best], "query_id long, location_id long, time long")
-    reached = rounds(back, starts, most).where(f"kind = 'arrive' and location_id = {start} and via = {len(search.vias)} and round <= query_id")
+    starts = spark.createDataFrame([(r["round"], target, -r["arr"]) for r in best], schema)
+    reached = rounds(back, starts, most).where((F.col("kind") == "arrive") & (F.col("location_id") == start) & (F.col("via") == len(search.vias)) & F.expr("round <= query_id"))
     latest = reached.groupBy("query_id").agg((-F.min("arr")).alias("dep"))
     arrivals = spark.createDataFrame([(r["round"], r["arr"]) for r in best], "query_id long, arr long")
     return latest.join(arrivals, "query_id").select((F.col("query_id") - 1).cast("int").alias("transfers"), "dep", "arr")
