@@ -44,13 +44,20 @@ def latest_stream(updates: DataFrame) -> DataFrame:
     return updates.groupBy("trip_id").applyInPandasWithState(fold, SCHEMA, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def apply_stream(updates: DataFrame, stop_events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Starts a query that hands each batch's overlay (see realtime.overlay) to sink with the batch's number; a batch that is sent again has the same number."""
+def apply_stream(updates: DataFrame, stop_events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "10 seconds"):
+    """Starts a query that hands each batch's overlay (see realtime.overlay) to sink with the batch's number; a batch that is sent again has the same number.
+
+    every is the time between batches; with None what is there is worked off and the query ends. State that times out makes batches without rows,
+    which sink doesn't get; so processAllAvailable() would not return.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
+        if rows.isEmpty():
+            return
         sink(realtime.overlay(stop_events, realtime.latest(rows, ["trip_id", "stop_seq"]).select("trip_id", "stop_seq", "delay", "skipped", "cancelled")), number)
 
-    return latest_stream(updates).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(batch).start()
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return latest_stream(updates).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(batch).start()
 
 
 def windowed_counts(updates: DataFrame, width: str = "10 minutes", late: str = "8 hours") -> DataFrame:
