@@ -64,3 +64,34 @@ def test_odd_rows_and_redaction(docs):
     assert row.text == 'é token = "[SECRET]" é' and row.n_chars == len(row.text)
     assert secrets.scanned(out).collect() == []
     assert secrets.scanned(docs([])).collect() == [] and secrets.redacted(docs([])).collect() == []
+
+
+LONG = "".join(f"k{i:03d}Z" for i in range(80))
+LINES = [f"{i:02d}" + "MIIEowIBAAKCAQEA" * 3 + "abcdefghijklmn" for i in range(99)]
+
+
+@pytest.mark.parametrize("text", [
+    "{LONG}", "token = {LONG}", "password={LONG} for user=alice", "password=hunter2 for user={LONG}", "sk-{LONG}", "xoxb-{LONG}", "ghp_{LONG}", "glpat-{LONG}", "npm_{LONG}", "github_pat_{LONG}", "postgres://me:{LONG}@db.example.com/x", "postgres://{LONG}:pw@db/{LONG}", "password=hunter2 https://example.com/{LONG}",
+])
+def test_long_values_are_whole(docs, text):
+    text = text.replace("{LONG}", LONG)
+    out = secrets.redacted(docs([(1, f"key {text} https://api.example.com end")])).first().text
+    assert "k0" not in out and "k07" not in out and out.startswith("key ") and out.endswith(" end")
+
+
+@pytest.mark.parametrize("body", [
+    "\n" + "\n".join(LINES * 3) + "\n",
+    "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n" + "\n".join(LINES) + "\n",
+    "\\n" + "\\n".join(LINES) + "\\n",
+    "\n> " + "\n> ".join(LINES) + "\n> ",
+])
+def test_private_keys_are_whole(docs, body):
+    key = f"-----BEGIN RSA PRIVATE KEY-----{body}-----END RSA PRIVATE KEY-----"
+    assert secrets.redacted(docs([(1, f"a {key} b {key} c")])).first().text == "a [SECRET] b [SECRET] c"
+
+
+def test_private_keys_without_footer(docs):
+    key = "-----BEGIN PRIVATE KEY-----"
+    rows = [(1, f"a {key} b {key} c"), (2, f"a {key}\n" + "\n".join(LINES)), (3, f"{key}\n{LINES[0]}\n{key}x-----END PRIVATE KEY----- d"), (4, f"a {key}\\n" + "\\n".join(LINES) + "\\n b")]
+    got = {r.doc_id: r.text for r in secrets.redacted(docs(rows)).collect()}
+    assert got == {1: "a [SECRET] b [SECRET] c", 2: "a [SECRET]", 3: "[SECRET] d", 4: "a [SECRET]\\n b"}

@@ -33,20 +33,22 @@ KINDS = (ID, SECRET, ENDPOINT)
 _NAMED = r"(?:secret|token|password|passwd|pwd|api_?key|apikey|access_?key|auth|credential)"
 _USER = r"(?:client_?id|access_?key_?id|account|user_?name|user|login|tenant_?id)"
 _SET = r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
-#: (rule, kind, strong, literal that must occur in the lower-cased text for the pattern to match or None, pattern). The value is group 1.
+#: (rule, kind, strong, literal that must occur in the lower-cased text for the pattern to match or None, pattern). The value is group 1
+#: and runs to the end of its class of characters; a private key goes on to its footer, see _keys().
 PATTERNS = (
-    ("private_key", SECRET, True, "private key-----", rb"(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{0,8000}-----END [A-Z ]{0,30}PRIVATE KEY-----)?)"),
+    ("private_key", SECRET, True, "private key-----", rb"(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{16,})*)"),
     ("cloud_key_id", ID, True, None, rb"\b((?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16})\b"),
-    ("prefixed_token", SECRET, True, None, rb"\b((?:gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22,82}|glpat-[A-Za-z0-9_-]{20}|xox[abprs]-[A-Za-z0-9-]{10,72}|sk_live_[A-Za-z0-9]{16,64}|sk-[A-Za-z0-9_-]{20,100}|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}))"),
-    ("credential_url", SECRET, True, "://", rb"(\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:[^\s:/@]{1,128}@[^\s\"'<>]{1,256})"),
-    ("named_secret", SECRET, False, None, (r"(?i)\b(?:[a-z0-9]{1,20}_){0,3}" + _NAMED + _SET + r"([A-Za-z0-9+/=_.~!@#$%^&*-]{6,256})").encode()),
-    ("named_identifier", ID, False, None, (r"(?i)\b(?:[a-z0-9]{1,20}_){0,3}" + _USER + _SET + r"([A-Za-z0-9_.@-]{3,64})").encode()),
-    ("url", ENDPOINT, False, "://", rb"(\b[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{3,256})"),
+    ("prefixed_token", SECRET, True, None, rb"\b((?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35,}|npm_[A-Za-z0-9]{36,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}))"),
+    ("credential_url", SECRET, True, "://", rb"(\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]+:[^\s:/@]+@[^\s\"'<>]+)"),
+    ("named_secret", SECRET, False, None, (r"(?i)\b(?:[a-z0-9]{1,20}_){0,3}" + _NAMED + _SET + r"([A-Za-z0-9+/=_.~!@#$%^&*-]{6,})").encode()),
+    ("named_identifier", ID, False, None, (r"(?i)\b(?:[a-z0-9]{1,20}_){0,3}" + _USER + _SET + r"([A-Za-z0-9_.@-]{3,})").encode()),
+    ("url", ENDPOINT, False, "://", rb"(\b[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{3,})"),
     ("address", ENDPOINT, False, None, rb"\b((?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?)\b"),
-    ("random_string", SECRET, False, None, rb"\b([A-Za-z0-9+/_-]{32,256}={0,2})"),
+    ("random_string", SECRET, False, None, rb"\b([A-Za-z0-9+/_-]{32,}={0,2})"),
 )
 _COMPILED = [re.compile(p) for *_, p in PATTERNS]
 _SCREEN = [p.decode() for *_, p in PATTERNS]
+_FOOTER = re.compile(rb"-----END [A-Z ]{0,30}PRIVATE KEY-----")
 
 
 def entropy(value: bytes) -> float:
@@ -56,6 +58,15 @@ def entropy(value: bytes) -> float:
     return float(-(n * np.log2(n)).sum())
 
 
+def _keys(pattern: re.Pattern, blob: bytes, at: int, stop: int) -> Iterator[tuple[int, int]]:
+    """Spans of private keys from header to the next footer, whatever stands between; without a footer, the header and the lines of a key behind it."""
+    footer = True
+    while (m := pattern.search(blob, at, stop)) is not None:
+        footer = footer and _FOOTER.search(blob, m.start(1), stop)
+        at = footer.end() if footer else m.end(1)
+        yield m.start(1), at
+
+
 def candidates(column: pa.Array) -> dict[str, np.ndarray]:
     """row, rule, kind, strong, begin and end of all candidates of a batch, sorted by row and place."""
     data, offsets = buffers(column)
@@ -72,9 +83,10 @@ def candidates(column: pa.Array) -> dict[str, np.ndarray]:
             hit = pc.match_substring_regex(column, screen)
         for row in np.flatnonzero(np.asarray(pc.fill_null(hit, False))).tolist():
             base = int(offsets[row])
-            for m in pattern.finditer(blob, base, int(offsets[row + 1])):
-                begin, end = m.span(1)
-                value = m.group(1)
+            stop = int(offsets[row + 1])
+            spans = _keys(pattern, blob, base, stop) if PATTERNS[rule][0] == "private_key" else (m.span(1) for m in pattern.finditer(blob, base, stop))
+            for begin, end in spans:
+                value = blob[begin:end]
                 sure = strong
                 if PATTERNS[rule][0] == "named_secret":
                     sure = len(value) >= 16 and entropy(value) >= ENTROPY and any(48 <= c < 58 for c in value)
