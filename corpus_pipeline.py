@@ -14,7 +14,7 @@ from tramline.llm.shared import discard, store
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word in a known language go."""
+    """Documents with too few words in a known language go."""
     return crf.kept(docs)
 
 

@@ -83,3 +83,22 @@ def test_empty_and_unlabelled(docs):
 def test_chains_break_at_lines():
     words = Words(pa.array(["a b\nc", "", "d"]))
     assert crf.chains(words).tolist() == [0, 2, 3]
+
+
+def test_a_stray_word_keeps_no_codes(model):
+    codes = " ".join(f"{i * 7919:x}9" for i in range(200))
+    words, p, _ = crf.label(pa.array([codes + " house", codes + "\nthe garden\n" + codes, EN + " 4711 0815"]), model)
+    lang, share, keep, _ = crf.decide(words, p, model)
+    assert keep.tolist() == [False, False, True] and lang.tolist() == [-1, -1, 0] and share[:2].tolist() == [0, 0]
+
+
+def test_rows_marked_as_no_language_are_learnt(docs):
+    r = np.random.default_rng(3)
+    junk = [" ".join("".join(r.choice(list("qxzjkvw"), r.integers(3, 9))) for _ in range(12)) for _ in range(60)]
+    english = [" ".join(r.permutation(EN.split())) for _ in range(40)]
+    rows = [*((i, t, "und") for i, t in enumerate(junk[:40])), *((100 + i, t, "en") for i, t in enumerate(english)), *((200 + i, t, None) for i, t in enumerate(junk[40:]))]
+    got = {r.doc_id: (r.language, r.keep) for r in crf.labelled(docs(rows)).collect()}
+    assert got == {i: ("en", True) if lang == "en" else (None, False) for i, _, lang in rows}
+    assert sorted(r.doc_id for r in crf.kept(docs(rows)).select("doc_id").collect()) == list(range(100, 140))
+    only = crf.labelled(docs([(1, junk[0], "und")])).first()
+    assert only.keep and only.language is None
