@@ -53,3 +53,23 @@ def test_odd_rows(spark, docs):
     assert tr.rolled(docs([])).collect() == []
     bare = spark.createDataFrame([(1, "text")], "doc_id long, text string")
     assert [(r.source, r.n_docs) for r in tr.rolled(bare).collect()] == [(None, 1)]
+
+
+def test_the_query_adds_up_signed_deltas(spark, docs, monkeypatch):
+    committed, commit = {}, tr.Rollup.commit
+
+    def spy(self, batch, deltas):
+        done = commit(self, batch, deltas)
+        if done:
+            committed[batch] = tuple(deltas.selectExpr("sum(n_docs)", "sum(n_tokens)", "sum(n_chars)", "min(n_docs)").first())
+        return done
+
+    monkeypatch.setattr(tr.Rollup, "commit", spy)
+    texts = ["one two three four", "fünf sechs", "x"]
+    rows = tr.rolled(docs(list(enumerate(texts)))).collect()
+    count = lambda own: (3, sum(len(tr.encoding(tr.RANKS).encode_ordinary(t)) for t in own), sum(map(len, own)))
+    whole, half = count(texts), count([t[: len(t) // 2] for t in texts])
+    assert [(r.n_docs, r.n_tokens, r.n_chars) for r in rows] == [whole]
+    assert committed == {
+        "documents": (*half, 1), "documents.revised": (0, whole[1] - half[1], whole[2] - half[2], -1), "documents.deleted": (*(-n for n in whole), -1), "documents.restored": (*whole, 1),
+    }

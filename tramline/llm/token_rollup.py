@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.shared import folder
+from tramline.llm.shared import discard, folder, store
 from tramline.llm.textnum import pieces
 
 RANKS, VERSION = "/opt/tokenizers/byte_bpe_50k.tiktoken", "byte_bpe_50k"
@@ -140,9 +140,21 @@ class Rollup:
 
 
 def rolled(docs: DataFrame, path: str | None = None, batch: str = "documents", ranks: str = RANKS, version: str = VERSION) -> DataFrame:
-    """Totals after one batch that inserts all of docs, sent twice as after a lost acknowledgement: it counts once."""
+    """Totals after batches over all of docs, each sent again as after a lost acknowledgement: it counts once.
+
+    The first half of each text comes in, is revised to the whole text, and all rows are deleted and inserted again;
+    the batches of the first half are merged before the others come.
+    """
     rollup = Rollup(docs.sparkSession, path)
-    deltas = inserts(counted(docs, ranks, version))
-    rollup.commit(batch, deltas)
-    rollup.commit(batch, deltas)
+    half = F.expr("substring(cast(`text` as string), 1, length(cast(`text` as string)) div 2)")
+    before, now = store(counted(docs.withColumn("text", half), ranks, version), "counts"), store(counted(docs, ranks, version), "counts")
+    first = [(batch, inserts(before)), (f"{batch}.revised", revisions(before, now))]
+    for name, deltas in [*first, *first]:
+        rollup.commit(name, deltas)
+    rollup.compact()
+    second = [(f"{batch}.deleted", deletes(now)), (f"{batch}.restored", inserts(now))]
+    for name, deltas in [*first, *second, *second]:
+        rollup.commit(name, deltas)
+    discard(before)
+    discard(now)
     return rollup.totals()
