@@ -7,11 +7,12 @@ stands in its scope: the two lie in one text with at most SCOPE bytes between th
 batch are sorted by row and place, and each one's interval is looked up by binary search in every other kind's places.
 
 Offsets are in bytes of the UTF-8 text. Where candidates overlap, the first pattern of PATTERNS wins; within one pattern
-they don't overlap. Nearest partners are linked; of equally near ones the first.
+they don't overlap. Nearest partners are linked; of equally near ones the first. Values have no upper length: they run to the end
+of their class of characters, and a private key to its footer.
 
 Defined results. Null and empty texts have nothing. Scopes never cross rows, so rows without doc_id and repeated rows are
-scanned each by itself. An empty table gives an empty result. Other columns are not read, but for redacted(), which keeps
-them as they are.
+scanned each by itself. Long texts take time in proportion to their length and candidates. An empty table gives an empty
+result. scanned() doesn't read other columns; redacted() passes them through.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tramline.llm.shared import texts
+from tramline.llm.shared import returning, rewritten, texts
 from tramline.llm.textnum import buffers, pieces
 
 SCOPE, ENTROPY = 200, 3.0
@@ -36,19 +37,19 @@ _SET = r"[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?"
 #: (rule, kind, strong, literal that must occur in the lower-cased text for the pattern to match or None, pattern). The value is group 1
 #: and runs to the end of its class of characters; a private key goes on to its footer, see _keys().
 PATTERNS = (
-    ("private_key", SECRET, True, "private key-----", rb"(-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{16,})*)"),
+    ("private_key", SECRET, True, "private key", rb"(-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{16,})*)"),
     ("cloud_key_id", ID, True, None, rb"\b((?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16})\b"),
     ("prefixed_token", SECRET, True, None, rb"\b((?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{35,}|npm_[A-Za-z0-9]{36,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}))"),
     ("credential_url", SECRET, True, "://", rb"(\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]+:[^\s:/@]+@[^\s\"'<>]+)"),
-    ("named_secret", SECRET, False, None, (r"(?i)\b(?:[a-z0-9]{1,20}_){0,3}" + _NAMED + _SET + r"([A-Za-z0-9+/=_.~!@#$%^&*-]{6,})").encode()),
-    ("named_identifier", ID, False, None, (r"(?i)\b(?:[a-z0-9]{1,20}_){0,3}" + _USER + _SET + r"([A-Za-z0-9_.@-]{3,})").encode()),
+    ("named_secret", SECRET, False, None, (r"(?i)(?:\b|_)" + _NAMED + _SET + r"([A-Za-z0-9+/=_.~!@#$%^&*-]{6,})").encode()),
+    ("named_identifier", ID, False, None, (r"(?i)(?:\b|_)" + _USER + _SET + r"([A-Za-z0-9_.@-]{3,})").encode()),
     ("url", ENDPOINT, False, "://", rb"(\b[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{3,})"),
     ("address", ENDPOINT, False, None, rb"\b((?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?)\b"),
     ("random_string", SECRET, False, None, rb"\b([A-Za-z0-9+/_-]{32,}={0,2})"),
 )
 _COMPILED = [re.compile(p) for *_, p in PATTERNS]
 _SCREEN = [p.decode() for *_, p in PATTERNS]
-_FOOTER = re.compile(rb"-----END [A-Z ]{0,30}PRIVATE KEY-----")
+_FOOTER = re.compile(rb"-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----")
 
 
 def entropy(value: bytes) -> float:
@@ -58,11 +59,11 @@ def entropy(value: bytes) -> float:
     return float(-(n * np.log2(n)).sum())
 
 
-def _keys(pattern: re.Pattern, blob: bytes, at: int, stop: int) -> Iterator[tuple[int, int]]:
+def _keys(pattern: re.Pattern, text: bytes) -> Iterator[tuple[int, int]]:
     """Spans of private keys from header to the next footer, whatever stands between; without a footer, the header and the lines of a key behind it."""
-    footer = True
-    while (m := pattern.search(blob, at, stop)) is not None:
-        footer = footer and _FOOTER.search(blob, m.start(1), stop)
+    footer, at = True, 0
+    while (m := pattern.search(text, at)) is not None:
+        footer = footer and _FOOTER.search(text, m.start(1))
         at = footer.end() if footer else m.end(1)
         yield m.start(1), at
 
@@ -71,36 +72,43 @@ def candidates(column: pa.Array) -> dict[str, np.ndarray]:
     """row, rule, kind, strong, begin and end of all candidates of a batch, sorted by row and place."""
     data, offsets = buffers(column)
     blob = data.tobytes()
-    found: list[tuple[int, int, int, int, bool]] = []
-    taken: dict[int, list[tuple[int, int]]] = {}
+    found: list[tuple[np.ndarray, ...]] = []
+    # Spans taken so far, which don't overlap, as sorted first and last places in the batch.
+    taken = np.zeros(0, np.int64), np.zeros(0, np.int64)
     lowered = None
-    for rule, ((_, kind, strong, literal, _), pattern, screen) in enumerate(zip(PATTERNS, _COMPILED, _SCREEN, strict=True)):
+    for rule, ((name, _, strong, literal, _), pattern, screen) in enumerate(zip(PATTERNS, _COMPILED, _SCREEN, strict=True)):
         if literal is not None:
             if lowered is None:
                 lowered = pc.utf8_lower(column)
             hit = pc.match_substring(lowered, literal)
         else:
             hit = pc.match_substring_regex(column, screen)
+        spans = []
         for row in np.flatnonzero(np.asarray(pc.fill_null(hit, False))).tolist():
             base = int(offsets[row])
-            stop = int(offsets[row + 1])
-            spans = _keys(pattern, blob, base, stop) if PATTERNS[rule][0] == "private_key" else (m.span(1) for m in pattern.finditer(blob, base, stop))
-            for begin, end in spans:
-                value = blob[begin:end]
-                sure = strong
-                if PATTERNS[rule][0] == "named_secret":
+            # A text of its own, since word boundaries look at what stands before the place where a search begins.
+            own = blob[base : int(offsets[row + 1])]
+            for begin, end in _keys(pattern, own) if name == "private_key" else (m.span(1) for m in pattern.finditer(own)):
+                value, sure = own[begin:end], strong
+                if name == "named_secret":
                     sure = len(value) >= 16 and entropy(value) >= ENTROPY and any(48 <= c < 58 for c in value)
-                elif PATTERNS[rule][0] == "random_string" and (entropy(value) < ENTROPY or not any(48 <= c < 58 for c in value)):
+                elif name == "random_string" and (entropy(value) < ENTROPY or not any(48 <= c < 58 for c in value)):
                     continue
-                elif PATTERNS[rule][0] == "address" and any(int(x) > 255 for x in value.split(b":")[0].split(b".")):
+                elif name == "address" and any(int(x) > 255 for x in value.split(b":")[0].split(b".")):
                     continue
-                own = taken.setdefault(row, [])
-                if any(begin < e and b < end for b, e in own):
-                    continue
-                own.append((begin, end))
-                found.append((row, begin - base, end - base, rule, sure))
-    found.sort()
-    row, begin, end, rule, strong = (np.array([f[i] for f in found], np.int64) for i in range(5))
+                spans.append((row, base + begin, base + end, sure))
+        if not spans:
+            continue
+        row, begin, end, sure = (np.array(x, np.int64) for x in zip(*spans, strict=True))
+        before = np.searchsorted(taken[0], end, "left") - 1
+        free = (before < 0) | (taken[1][np.maximum(before, 0)] <= begin) if len(taken[0]) else np.ones(len(begin), bool)
+        row, begin, end, sure = row[free], begin[free], end[free], sure[free]
+        found.append((row, begin - offsets[row], end - offsets[row], np.full(len(row), rule), sure))
+        order = np.argsort(np.concatenate([taken[0], begin]), kind="stable")
+        taken = np.concatenate([taken[0], begin])[order], np.concatenate([taken[1], end])[order]
+    row, begin, end, rule, strong = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(5))
+    order = np.lexsort((begin, row))
+    row, begin, end, rule, strong = row[order], begin[order], end[order], rule[order], strong[order]
     kind = np.array([KINDS.index(p[1]) for p in PATTERNS])[rule] if len(rule) else rule
     return {"row": row, "begin": begin, "end": end, "rule": rule, "kind": kind, "strong": strong.astype(bool)}
 
@@ -153,22 +161,20 @@ def scanned(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
                 names = [pa.array(values).take(pa.array(c[key][show])) for key, values in (("kind", list(KINDS)), ("rule", [p[0] for p in PATTERNS]))]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(c["row"][show])), pa.array(c["begin"][show]), pa.array(c["end"][show]), *names, pa.array(c["strong"][show]), *places], ["doc_id", "begin", "end", "kind", "rule", "strong", "identifier_at", "secret_at", "endpoint_at"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, begin long, end long, kind string, rule string, strong boolean, identifier_at long, secret_at long, endpoint_at long")
+    return texts(docs).mapInArrow(returning(run), "doc_id long, begin long, end long, kind string, rule string, strong boolean, identifier_at long, secret_at long, endpoint_at long")
 
 
 def redacted(docs: DataFrame, scope: int = SCOPE, mark: str = "[SECRET]") -> DataFrame:
-    """docs with what scanned() reports replaced by mark in text; n_chars, where there is one, follows the new text."""
-    if "n_chars" in docs.columns:
-        size_at, size_type = docs.columns.index("n_chars"), docs.schema["n_chars"].dataType.simpleString()
-    else:
-        size_at, size_type = None, None
+    """docs with what scanned() reports replaced by mark in text; n_chars, where it is an integer, follows the new text. All other
+    columns stay as they are, whatever their names; a null text stays null."""
     text_at = docs.columns.index("text")
-    numeric = size_type in ("int", "bigint")
+    size_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    numeric = size_at is not None and docs.schema["n_chars"].dataType.simpleString() in ("int", "bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
-                column = part.column("text")
+            for part in pieces(batch, f"c{text_at}"):
+                column = part.column(text_at)
                 c = candidates(column)
                 show = np.flatnonzero(reported(c, links(c, scope)))
                 if len(show):
@@ -189,4 +195,4 @@ def redacted(docs: DataFrame, scope: int = SCOPE, mark: str = "[SECRET]") -> Dat
                         part = part.set_column(size_at, part.schema.field(size_at), pc.if_else(pa.array(touched), pc.utf8_length(part.column(text_at)).cast(old.type), old))
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return rewritten(docs, run)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def folder(spark: SparkSession) -> str:
@@ -39,4 +43,34 @@ def discard(df: DataFrame) -> None:
 
 def texts(df: DataFrame, *more: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key as a long and the text (null as empty), whatever other columns df has."""
-    return df.select(F.col(f"`{key}`").cast("long").alias(key), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(text), *more)
+    return df.select(column(key).cast("long").alias(key), F.coalesce(column(text).cast("string"), F.lit("")).alias(text), *more)
+
+
+def column(name: str) -> Column:
+    """The column of this very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ... by place, so that no name clashes with an operator's own."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def rewritten(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """df's columns by their names and types after run, which sees and gives columns named by place as in plain()."""
+    schema = StructType([StructField(f"c{i}", f.dataType, True) for i, f in enumerate(df.schema.fields)])
+    return plain(df).mapInArrow(returning(run), schema).toDF(*df.columns)
+
+
+def returning(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker, which lives on for later stages, gives its free memory back to the system."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            return  # not glibc
+
+    return wrapped
