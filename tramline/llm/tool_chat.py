@@ -13,35 +13,58 @@ Defined results. Rows without conv_id are left out. A repeated row counts once;
 and text, null first. Null roles and texts are empty strings. Calls of a cycle come last in their own order and
 count in n_cyclic, what depends on them as well. A reference to an identifier that no call has is no dependency. Calls of an
 undeclared tool are invalid if the conversation declares any tool, and calls without an object of arguments are invalid.
-Results without a call are listed as orphans. Malformed JSON is plain text. An empty table gives an empty result. Other columns are not read.
+Results without a call are listed as orphans. Malformed JSON is plain text: also that with numbers which are not
+finite or which Python refuses, and that nested over DEPTH deep. Halves of surrogate pairs are escaped. A conversation is one row of the
+result, so its messages meet in one task, whatever their number. An empty table gives an empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import math
 import re
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tramline.llm.shared import returning
+
+#: JSON that is nested deeper is malformed.
+DEPTH = 200
+_LONE = re.compile("[\ud800-\udfff]")
 _BLOCK = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
 SCHEMA = "conv_id long, n_messages long, n_calls long, n_linked long, n_invalid long, n_cyclic long, n_orphans long, json string"
 
 
 def canonical(value: object) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    text = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _depth(text: str) -> int:
+    """A bound on how deep the objects and lists of text are nested: brackets in strings count as well."""
+    step = np.zeros(256, np.int8)
+    step[[ord("["), ord("{")]], step[[ord("]"), ord("}")]] = 1, -1
+    return int(np.cumsum(step[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)], dtype=np.int64).max(initial=0))
 
 
 def _loads(text: str) -> object:
     def refuse(name: str) -> None:
         raise ValueError(name)
 
+    def finite(digits: str) -> float:
+        value = float(digits)
+        return value if math.isfinite(value) else refuse(digits)
+
+    if text.count("[") + text.count("{") > DEPTH and _depth(text) > DEPTH:
+        return None
     try:
-        return json.loads(text, parse_constant=refuse)
+        return json.loads(text, parse_constant=refuse, parse_float=finite)
     except (ValueError, RecursionError):
         return None
 
@@ -79,7 +102,7 @@ def errors(value: object, schema: object, at: str = "$") -> list[str]:
     if isinstance(value, dict):
         known = schema.get("properties") if isinstance(schema.get("properties"), dict) else {}
         required = schema.get("required") if isinstance(schema.get("required"), list) else []
-        out += [f"{at}.{k}: required" for k in required if k not in value]
+        out += [f"{at}.{k}: required" for k in required if isinstance(k, str) and k not in value]
         for k in sorted(value):
             if k in known:
                 out += errors(value[k], known[k], f"{at}.{k}")
@@ -205,4 +228,4 @@ def formatted(conversations: DataFrame) -> DataFrame:
         if done:
             yield packed()
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(returning(run), SCHEMA)
