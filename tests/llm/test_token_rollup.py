@@ -73,3 +73,31 @@ def test_the_query_adds_up_signed_deltas(spark, docs, monkeypatch):
     assert committed == {
         "documents": (*half, 1), "documents.revised": (0, whole[1] - half[1], whole[2] - half[2], -1), "documents.deleted": (*(-n for n in whole), -1), "documents.restored": (*whole, 1),
     }
+
+
+def test_two_attempts_at_once(spark, docs):
+    """The other attempt's rename comes between this one's look and its own rename."""
+    rollup, other = tr.Rollup(spark), None
+    other = tr.Rollup(spark, rollup.path)
+    deltas = tr.inserts(tr.counted(docs([(1, "one two")])))
+
+    class Late:
+        def __init__(self, fs):
+            self.fs, self.first = fs, True
+
+        def exists(self, path):
+            if self.first and path.getName() == "batch-x":
+                self.first = False
+                assert other.commit("x", deltas)
+                return False
+            return self.fs.exists(path)
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    rollup._fs = Late(rollup._fs)
+    assert not rollup.commit("x", deltas)
+    assert [r.n_docs for r in rollup.totals().collect()] == [1]
+    left = [s.getPath().getName() for s in other._fs.listStatus(other._root)]
+    inside = [s.getPath().getName() for s in other._fs.listStatus(other._at("batches/batch-x"))]
+    assert left == ["batches"] and inside == ["data"]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tramline.llm.shared import discard, folder, store
+from tramline.llm.shared import discard, folder, returning, store
 from tramline.llm.textnum import pieces
 
 RANKS, VERSION = "/opt/tokenizers/byte_bpe_50k.tiktoken", "byte_bpe_50k"
@@ -60,7 +60,7 @@ def counted(docs: DataFrame, ranks: str = RANKS, version: str = VERSION) -> Data
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "source", "lang")), pa.array([version] * len(text), pa.string()), pa.array(tokens), pa.array([len(t) for t in text], pa.int64())], ["doc_id", "source", "lang", "version", "n_tokens", "n_chars"])
 
     column = lambda c, kind: (F.col(f"`{c}`") if c in docs.columns else F.lit(None)).cast(kind).alias(c)
-    return docs.select(column("doc_id", "long"), column("source", "string"), column("lang", "string"), column("text", "string")).mapInArrow(run, "doc_id long, source string, lang string, version string, n_tokens long, n_chars long")
+    return docs.select(column("doc_id", "long"), column("source", "string"), column("lang", "string"), column("text", "string")).mapInArrow(returning(run), "doc_id long, source string, lang string, version string, n_tokens long, n_chars long")
 
 
 def inserts(counts: DataFrame) -> DataFrame:
@@ -112,9 +112,13 @@ class Rollup:
         whole = deltas.where(" and ".join(f"{s} is not null" for s in SUMS)).groupBy(*KEYS).agg(*(F.sum(s).alias(s) for s in SUMS))
         attempt = f"attempt-{uuid.uuid4().hex}"
         whole.write.parquet(f"{self.path}/{attempt}/data")
-        # A rename onto a folder that exists fails, or moves into it: it is looked up before and after.
-        done = not self._fs.exists(self._at(f"batches/batch-{batch}")) and self._fs.rename(self._at(attempt), self._at(f"batches/batch-{batch}"))
-        self._fs.delete(self._at(f"batches/batch-{batch}/{attempt}" if done is False else attempt), True)
+        target, nested = self._at(f"batches/batch-{batch}"), self._at(f"batches/batch-{batch}/{attempt}")
+        done = not self._fs.exists(target) and self._fs.rename(self._at(attempt), target)
+        # Where another attempt came first meanwhile, a rename fails or moves this one into that one's folder.
+        for lost in (nested, self._at(attempt)):
+            if self._fs.exists(lost):
+                self._fs.delete(lost, True)
+                done = False
         return bool(done)
 
     def totals(self) -> DataFrame:
