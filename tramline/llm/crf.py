@@ -16,7 +16,8 @@ numbers, codes and junk, also with a stray word among them. Of the documents of
 
 Defined results. Null and empty texts have no words, language null, confidence 0 and keep false, as all that is rejected. Rows without doc_id are
 labelled too; repeated rows get equal results. Without any training row in a language every word is OTHER and everything that has a
-word is kept. An empty table gives an empty result. Other columns are not read.
+word is kept; a table without a column lang has none. Very long texts are chains of lines, and long lines are cut into blocks with exact
+messages. An empty table gives an empty result. labelled() doesn't read other columns, whatever their names; kept() passes them through.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.shared import texts
+from tramline.llm.shared import returning, rewritten, texts
 from tramline.llm.textnum import Words, mix, pieces, spread
 
 OTHER = "und"
@@ -233,7 +234,8 @@ def train(sentences: list[tuple[str, int]], labels: list[str], bits: int = BITS,
 
 def fit(docs: DataFrame, sample: int = SAMPLE, most: int = CHAINS, bits: int = BITS) -> Model:
     """A model of the sampled documents' lines. Both bounds are parameters of training alone."""
-    rows = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`lang`").cast("string").alias("lang"), F.col("`text`").cast("string").alias("text")).where("doc_id is not null and text is not null and trim(lang) <> ''")
+    lang = F.col("`lang`") if "lang" in docs.columns else F.lit(None)
+    rows = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), lang.cast("string").alias("lang"), F.col("`text`").cast("string").alias("text")).where("doc_id is not null and text is not null and trim(lang) <> ''")
     chosen = rows.select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample)
     table = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", F.explode(F.split("text", "\n")).alias("line")).where("length(line) > 1").groupBy("lang", "line").count().orderBy(F.xxhash64("line"), "line", "lang").limit(most).collect()
     labels = [*sorted({r.lang for r in table} - {OTHER}), OTHER]
@@ -291,17 +293,18 @@ def labelled(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> DataFra
                 spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, words.first).astype(np.int32)), runs)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), names.take(pa.array(np.where(lang < 0, 0, lang), mask=lang < 0)), pa.array(share), pa.array(words.counts.astype(np.int64)), pa.array(keep), spans], ["doc_id", "language", "confidence", "n_words", "keep", "spans"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, language string, confidence double, n_words long, keep boolean, spans array<struct<begin:int,end:int,label:string>>")
+    return texts(docs).mapInArrow(returning(run), "doc_id long, language string, confidence double, n_words long, keep boolean, spans array<struct<begin:int,end:int,label:string>>")
 
 
 def kept(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> DataFrame:
-    """The rows of docs, all columns as they are, whose language is recognised."""
+    """The rows of docs, all columns as they are, whose language is recognised. Column names don't matter but for doc_id, lang and text."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, sample, bits=bits))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, most=1 << 20):
-                words, p, _ = label(part.column("text"), sent.value)
+            for part in pieces(batch, f"c{at}", most=1 << 20):
+                words, p, _ = label(part.column(at), sent.value)
                 yield part.filter(pa.array(decide(words, p, sent.value)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rewritten(docs, run)
