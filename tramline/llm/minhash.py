@@ -4,9 +4,10 @@ Every document is a query: all that share a band are candidates, however many th
 verifies all its members against its least one; members that fail are then verified against every other member,
 so what is linked is exactly what all pairs of the bucket would link, without pairing up large groups of copies.
 
-Defined results. Texts without a word are never linked. Texts of fewer words than a shingle count as one shingle.
-Rows without doc_id are left out. Repeated rows of one doc_id are one document. Ties don't arise: the least
-doc_id of a group stays. An empty table gives an empty result. Other columns are not read.
+Defined results. Texts without a word are never linked. Texts of fewer words than a shingle count as one shingle. Long texts are
+read whole, in batches of their own. Rows without doc_id are left out. Repeated rows of one doc_id are one document. Ties don't arise:
+the least doc_id of a group stays. An empty table gives an empty result. near_duplicates() doesn't read other columns, whatever their
+names; kept() passes them through.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from tramline.llm.shared import discard, store, texts
+from tramline.llm.shared import discard, plain, returning, store, texts
 from tramline.llm.textnum import Words, mix, pieces, spread, window_hashes
 
 PERMUTATIONS, BANDS, SHINGLE, THRESHOLD = 192, 48, 3, 0.45
@@ -66,7 +67,7 @@ def signatures(docs: DataFrame, permutations: int = PERMUTATIONS, shingle: int =
                 packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * permutations), len(rows), [None, pa.py_buffer(np.ascontiguousarray(sig))])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows)), pa.array(k1), pa.array(k2), packed.cast(pa.binary())], ["doc_id", "k1", "k2", "sig"])
 
-    return texts(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, k1 long, k2 long, sig binary")
+    return texts(docs).where("doc_id is not null").mapInArrow(returning(run), "doc_id long, k1 long, k2 long, sig binary")
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame, permutations: int, threshold: float) -> DataFrame:
@@ -83,7 +84,7 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, permutations: int, threshold: f
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(node, label) of all nodes of edges (a, b); label is the least node that is connected.
+    """(node, label) of all nodes of edges (a, b); label is the least node that is connected. discard() it when it is read.
 
     Alternating large-star and small-star. Each round is written to the shared folder, so no lineage grows; the
     minima are partial aggregates and a join, so a node with many neighbours doesn't meet in one task.
@@ -106,7 +107,9 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         before = state
     else:
         raise RuntimeError(f"components not stable after {most_rounds} rounds")
-    return current.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    out = current.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    out._tramline_path = current._tramline_path
+    return out
 
 
 def near_duplicates(docs: DataFrame, permutations: int = PERMUTATIONS, bands: int = BANDS, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -130,7 +133,10 @@ def near_duplicates(docs: DataFrame, permutations: int = PERMUTATIONS, bands: in
     labels = components(first.where("ok").select("a", "b").unionByName(second.where("ok").select("a", "b")))
     to_rep = sigs.select("doc_id", "k1", "k2").join(reps.select("k1", "k2", F.col("doc_id").alias("rep")), ["k1", "k2"]).select("doc_id", "rep")
     found = to_rep.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("duplicate_of"))
-    return found.groupBy("doc_id").agg(F.min("duplicate_of").alias("duplicate_of")).where("doc_id <> duplicate_of")
+    out = store(found.groupBy("doc_id").agg(F.min("duplicate_of").alias("duplicate_of")).where("doc_id <> duplicate_of"), "duplicates")
+    for table in (sigs, reps, members, first, labels):
+        discard(table)
+    return out
 
 
 def kept(docs: DataFrame, permutations: int = PERMUTATIONS, bands: int = BANDS, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -139,11 +145,14 @@ def kept(docs: DataFrame, permutations: int = PERMUTATIONS, bands: int = BANDS,
     Of several rows of one doc_id the least by text and all other columns that can be ordered stays. Rows without doc_id
     all stay.
     """
-    gone = near_duplicates(docs, permutations, bands, shingle, threshold).select("doc_id").distinct().withColumnRenamed("doc_id", "__gone")
-    own = docs.where("doc_id is not null").join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    least = [F.col(f"`{c}`") for c in ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))] if _orderable(docs.schema[c].dataType)]
-    one = own.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(*least))).where("__nth = 1").drop("__nth")
-    return one.unionByName(docs.where("doc_id is null"))
+    gone = near_duplicates(docs, permutations, bands, shingle, threshold).select("doc_id")
+    # Columns go by place, so that none of docs clashes with those made here.
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    key, own = F.col(at["doc_id"]), plain(docs)
+    kept = own.where(key.isNotNull()).join(gone, key.cast("long") == gone["doc_id"], "left_anti")
+    least = [F.col(at[c]) for c in ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))] if _orderable(docs.schema[docs.columns.index(c)].dataType)]
+    one = kept.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*least))).where("nth = 1").drop("nth")
+    return one.unionByName(own.where(key.isNull())).toDF(*docs.columns)
 
 
 def _orderable(kind: DataType) -> bool:
