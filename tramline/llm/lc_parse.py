@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tramline.llm.shared import texts
+from tramline.llm.shared import returning, texts
 from tramline.llm.textnum import buffers, lists, mix, pieces, powers
 
 #: The level whose names are the signatures: a phrase there has about 60 bytes.
@@ -112,4 +112,4 @@ def fingerprints(docs: DataFrame, level: int = LEVEL) -> DataFrame:
                 root, height, flat, first = parse(part.column("text"), level)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(root), pa.array(height), lists(flat, first, pa.int64())], ["doc_id", "fingerprint", "levels", "signatures"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fingerprint long, levels int, signatures array<long>")
+    return texts(docs).mapInArrow(returning(run), "doc_id long, fingerprint long, levels int, signatures array<long>")

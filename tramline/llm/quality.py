@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.shared import texts
+from tramline.llm.shared import returning, texts
 from tramline.llm.textnum import Words, lists, mix, pieces
 
 BITS, SAMPLE, EPOCHS = 18, 4000, 4
@@ -107,4 +107,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bit
                 keep = (scores[0] >= 0.5) & (scores[1] < 0.5) if any(w.any() for w in sent.value) else np.ones(len(first) - 1, bool)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores[0]), pa.array(scores[1]), pa.array(keep)], ["doc_id", "quality", "toxic", "keep"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, quality double, toxic double, keep boolean")
+    return texts(docs).mapInArrow(returning(run), "doc_id long, quality double, toxic double, keep boolean")
