@@ -70,3 +70,21 @@ def test_decoded_table(spark, docs):
 def test_word_mark_in_text(docs):
     row = sp_codec.encoded(docs([(1, "a▁b")])).first()
     assert row.ids == LIBRARY.encode("a▁b") and row.decoded_ok
+
+
+def test_long_texts_equal_the_library(vocabulary):
+    rng = np.random.Generator(np.random.PCG64(5))
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz   é漢"))
+    long = "".join(letters[rng.integers(0, len(letters), 300_000)])
+    unbroken = "".join(letters[:20][rng.integers(0, 20, 30_000)])
+    for text in (long, unbroken, " " * 5000 + long[:9000], "漢" * 20_000, "-" * 30_000):
+        ids, first = sp_codec.encode(pa.array([None, "a b", text, "", text[:70]]), vocabulary, most=10_000)
+        got = [ids[a:b].tolist() for a, b in zip(first, first[1:], strict=False)]
+        assert got == [[], LIBRARY.encode("a b"), LIBRARY.encode(text), [], LIBRARY.encode(text[:70])]
+
+
+def test_six_million_characters(vocabulary):
+    rng = np.random.Generator(np.random.PCG64(6))
+    text = " ".join(f"w{x:x}" for x in rng.integers(0, 1 << 40, 520_000).tolist())
+    assert len(text) > 6_000_000
+    assert ids_of([text], vocabulary) == [LIBRARY.encode(text)]

@@ -2,8 +2,8 @@
 
 A batch's distinct segments (a run of word marks and what follows it up to the next mark) are concatenated and
 indexed by a suffix array sorted to the depth of the longest piece. Every piece of the vocabulary is looked up by
-binary search, which gives its range of occurrences; these edges are sorted into a table by position. Edges are then
-relaxed within each segment. The vocabulary is a BPE model, so an edge is relaxed when its score is the best of all
+binary search, which gives its range of occurrences; these edges are sorted by position and kept with one mask of lengths for each
+position. Edges are then relaxed within each segment. The vocabulary is a BPE model, so an edge is relaxed when its score is the best of all
 edges that join two neighbouring symbols, the leftmost of equals first: that is the order that defines this model's
 result, and a best-path relaxation over added scores gives other ids. Results equal the sentencepiece library's.
 
@@ -16,19 +16,22 @@ result. Other columns are not read.
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tramline.llm.shared import texts
+from tramline.llm.shared import returning, texts
 from tramline.llm.textnum import buffers, lists, mix, pieces, powers, spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _MARK, _SEPARATOR = 0x2581, 0x110000
 #: Segments of more characters are merged with a heap instead of in step with the others; the result is the same.
 _LONG = 400
+#: Bytes that are worked on at a time; a longer text is cut between its segments.
+PART = 1 << 20
 
 
 class Vocabulary:
@@ -82,35 +85,100 @@ def _bisect(keys: np.ndarray, low: np.ndarray, high: np.ndarray, value: np.ndarr
     return low
 
 
-def edges(text: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    """table[position, length - 1]: the piece of that length that occurs there, or -1. text ends segments by a separator."""
+class Edges:
+    """The pieces that occur in a text, sorted by position.
+
+    mask[i] has bit l - 1 where a piece of l characters begins at i; its pieces are piece[first[i]:], by length.
+    """
+
+    __slots__ = ("mask", "first", "piece", "deepest")
+
+    def __init__(self, n: int, deepest: int, at: np.ndarray, size: np.ndarray, piece: np.ndarray):
+        self.deepest = deepest
+        # Position, length and piece in one number, as there is one piece at most of a length at a position.
+        key = np.sort((at << 28) | (size.astype(np.int64) << 22) | piece)
+        at, size, self.piece = key >> 28, (key >> 22) & 63, (key & ((1 << 22) - 1)).astype(np.int32)
+        self.first = np.zeros(n + 1, np.int64)
+        np.cumsum(np.bincount(at, minlength=n), out=self.first[1:])
+        self.mask = np.zeros(n, np.uint64)
+        if len(at):
+            start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            self.mask[at[start]] = np.bitwise_or.reduceat(np.uint64(1) << (size - 1).astype(np.uint64), start)
+
+    def find(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The piece of each size, at most deepest, at each place, or -1."""
+        if not len(self.piece):
+            return np.full(len(at), -1, np.int32)
+        mask, bit = self.mask[at], np.uint64(1) << (size - 1).astype(np.uint64)
+        place = self.first[at] + np.bitwise_count(mask & (bit - np.uint64(1)))
+        return np.where(mask & bit, self.piece[np.minimum(place, len(self.piece) - 1)], np.int32(-1))
+
+    def __getitem__(self, key: tuple[int, int]) -> int:
+        """The piece of so many characters more than one at a place, or -1."""
+        return int(self.find(np.array([key[0]]), np.array([key[1] + 1]))[0])
+
+    def reach(self) -> np.ndarray:
+        """For each place where the edges that begin there or before end at the latest; a place itself where none does."""
+        length = np.frexp(self.mask.astype(np.float64))[1]
+        # Rounding of a mask to 53 bits can only lengthen, by one; pieces of over 53 characters keep a segment whole.
+        return np.maximum.accumulate(np.arange(len(self.mask)) + length)
+
+
+def _suffixes(code: np.ndarray, text: np.ndarray, bits: int, per: int, words: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffix array of text, and its suffixes' keys of per characters each in that order.
+
+    A key is 0 beyond the separator. Later keys are made, and sorted by, only for suffixes that reach so far.
+    """
+    n = len(text)
+    stops = np.flatnonzero(text == _SEPARATOR)
+    left = np.repeat(stops, np.diff(stops, prepend=-1)) - np.arange(n)
+
+    def packed(at: np.ndarray | slice, begin: int, size: np.ndarray) -> np.ndarray:
+        key = np.zeros(len(size), np.uint64)
+        for c in range(begin, begin + per):
+            key <<= np.uint64(bits)
+            key |= code[c : c + n] if isinstance(at, slice) else code[at + c]
+        spare = ((per - np.clip(size, 1, per)) * bits).astype(np.uint64)
+        return np.where(size > 0, (key >> spare) << spare, np.uint64(0))
+
+    key = packed(slice(None), 0, left)
+    order = np.argsort(key)
+    keys = [key[order]]
+    new = np.ones(n, bool)
+    for w in range(1, words):
+        new[1:] = (keys[-1][1:] != keys[-1][:-1]) if w == 1 else new[1:] | (keys[-1][1:] != keys[-1][:-1])
+        at = np.flatnonzero(left[order] >= w * per)
+        own = order[at]
+        key = packed(own, w * per, left[own] - w * per)
+        again = np.lexsort((key, np.cumsum(new)[at]))
+        order[at] = own[again]
+        whole = np.zeros(n, np.uint64)
+        whole[at] = key[again]
+        keys.append(whole)
+    return order, keys
+
+
+def edges(text: np.ndarray, vocabulary: Vocabulary) -> Edges:
+    """All occurrences of pieces in text, which ends segments by a separator."""
     n, depth = len(text), vocabulary.deepest
-    table = np.full((n, depth), -1, np.int32)
+    none = np.zeros(0, np.int64)
     alphabet = np.unique(text)
     alphabet = alphabet[alphabet != _SEPARATOR]
     bits = max(1, int(len(alphabet) + 2).bit_length())
     per = 64 // bits
     words = -(-depth // per)
-    code = (np.searchsorted(alphabet, text) + 1).astype(np.uint64)
-    code[text == _SEPARATOR] = len(alphabet) + 1
-    padded = np.concatenate([code, np.zeros(words * per, np.uint64)])
-    keys = []
-    for w in range(words):
-        key = np.zeros(n, np.uint64)
-        for c in range(per):
-            key = (key << np.uint64(bits)) | padded[w * per + c : w * per + c + n]
-        keys.append(key)
-    suffixes = np.lexsort(keys[::-1])
-    keys = [k[suffixes] for k in keys]
     place = np.minimum(np.searchsorted(alphabet, vocabulary.codes), max(0, len(alphabet) - 1))
     inside = np.arange(depth)[None, :] < vocabulary.size[:, None]
     known = ((alphabet[place] == vocabulary.codes) | ~inside).all(axis=1) if len(alphabet) else np.zeros(len(place), bool)
     piece, size = vocabulary.longer[known], vocabulary.size[known]
     if not len(piece):
-        return table
+        return Edges(n, depth, none, none, none.astype(np.int32))
     codes = np.where(inside[known], place[known] + 1, 0).astype(np.uint64)
     codes = np.pad(codes, ((0, 0), (0, words * per - depth)))
-    low, high = np.zeros(len(piece), np.int64), np.full(len(piece), n, np.int64)
+    code = np.zeros(n + words * per, np.uint64)
+    code[:n] = np.searchsorted(alphabet, text) + 1
+    suffixes, keys = _suffixes(code, text, bits, per, words)
+    low, high = np.searchsorted(keys[0], 0, "right") * np.ones(len(piece), np.int64), np.full(len(piece), n, np.int64)
     for w in range(words):
         left = size - w * per
         live = np.flatnonzero(left > 0)
@@ -121,49 +189,68 @@ def edges(text: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
             first = (first << np.uint64(bits)) | codes[live, w * per + c]
         free = np.maximum(0, per - left[live]).astype(np.uint64) * np.uint64(bits)
         last = first | ((np.uint64(1) << free) - np.uint64(1))
-        a, b = low[live], high[live]
-        low[live], high[live] = _bisect(keys[w], a, b, first, False), _bisect(keys[w], a, b, last, True)
+        if w:
+            a, b = low[live], high[live]
+            low[live], high[live] = _bisect(keys[w], a, b, first, False), _bisect(keys[w], a, b, last, True)
+        else:
+            low[live], high[live] = np.searchsorted(keys[0], first, "left"), np.searchsorted(keys[0], last, "right")
+        keys[w] = None
     count = high - low
-    table[suffixes[spread(low, count)], np.repeat(size - 1, count)] = np.repeat(piece, count)
-    return table
+    return Edges(n, depth, suffixes[spread(low, count)], np.repeat(size, count), np.repeat(piece, count))
 
 
-def _heap(table: np.ndarray, rank: np.ndarray, begin: int, end: int, size: np.ndarray) -> None:
+def _heap(found: Edges, rank: np.ndarray, begin: int, end: int, size: np.ndarray) -> None:
     """Relax the edges of one long segment; size gets the lengths of its symbols at their first positions."""
-    deepest = table.shape[1]
-    after = {i: i + 1 for i in range(begin, end)}
-    ahead = {i: i - 1 for i in range(begin, end)}
-    queue: list[tuple[int, int, int]] = []
+    deepest, shift = found.deepest, (end - begin).bit_length()
+    mask, first = found.mask[begin:end].tolist(), found.first[begin : end + 1].tolist()
+    cost = rank[found.piece[first[0] : first[-1]]].tolist()
+    n, base = end - begin, first[0]
+    after, ahead, own = array("q", range(1, n + 1)), array("q", range(-1, n - 1)), array("b", b"\x01" * n)
+    queue: list[int] = []
 
     def push(i: int) -> None:
         j = after[i]
-        if i >= begin and j < end and (k := after[j] - i) <= deepest and (p := table[i, k - 1]) >= 0:
-            heapq.heappush(queue, (int(rank[p]), i, k))
+        if j < n and (k := after[j] - i) <= deepest and mask[i] >> (k - 1) & 1:
+            price = cost[first[i] - base + (mask[i] & ((1 << (k - 1)) - 1)).bit_count()]
+            heapq.heappush(queue, ((price << shift | i) << 6) | k)
 
-    for i in range(begin, end):
+    for i in range(n):
         push(i)
     while queue:
-        _, i, k = heapq.heappop(queue)
-        j = after.get(i, end)
-        if j >= end or after.get(j, -1) - i != k or size[i] == 0:
+        top = heapq.heappop(queue)
+        i, k = (top >> 6) & ((1 << shift) - 1), top & 63
+        j = after[i]
+        # A symbol that has been joined to its left has no size; one that has grown since has another neighbour.
+        if not own[i] or j >= n or after[j] - i != k:
             continue
-        after[i] = after.pop(j)
-        size[i], size[j] = k, 0
-        if after[i] < end:
+        after[i], own[i], own[j] = after[j], k, 0
+        if after[i] < n:
             ahead[after[i]] = i
         push(i)
-        if ahead[i] >= begin:
+        if ahead[i] >= 0:
             push(ahead[i])
+    size[begin:end] = np.frombuffer(own, np.int8)
 
 
-def relax(table: np.ndarray, rank: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def relax(found: Edges, rank: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Symbol length at each position where a symbol begins after all merges, else 0."""
-    n, deepest = table.shape
-    none = np.int64(1) << 40
+    n, deepest = len(found.mask), found.deepest
+    none, low = np.int64(1) << 22, np.int64((1 << 40) - 1)
+    if len(rank) >= none:
+        raise ValueError(f"a vocabulary of {len(rank)} pieces")
     size = np.zeros(n, np.int32)
     size[spread(begins, ends - begins)] = 1
+    # No merge crosses a place that no edge spans: a segment is cut there.
+    open_at = np.zeros(n + 1, bool)
+    open_at[1:] = found.reach() <= np.arange(1, n + 1)
+    open_at[begins] = True
+    inner = np.zeros(n + 1, np.int8)
+    inner[begins] += 1
+    inner[ends] -= 1
+    begins = np.flatnonzero(open_at[:n] & (np.cumsum(inner[:n], dtype=np.int32) > 0))
+    ends = np.minimum(np.append(begins[1:], n), ends[np.searchsorted(ends, begins, "right")])
     for b, e in zip(begins[ends - begins > _LONG].tolist(), ends[ends - begins > _LONG].tolist(), strict=True):
-        _heap(table, rank, b, e, size)
+        _heap(found, rank, b, e, size)
     short = np.flatnonzero((ends - begins <= _LONG) & (ends - begins > 1))
     lengths = (ends - begins)[short]
     at = spread(begins[short], lengths)
@@ -174,15 +261,15 @@ def relax(table: np.ndarray, rank: np.ndarray, begins: np.ndarray, ends: np.ndar
         i, j = at[left], np.minimum(left + 1, len(at) - 1)
         long = size[i] + size[at[j]]
         ok = (j > left) & (segment[j] == segment[left]) & (long <= deepest)
-        piece = table[i, np.minimum(long, deepest) - 1]
+        piece = found.find(i, np.minimum(long, deepest))
         return np.where(ok & (piece >= 0), rank[piece], none)
 
     cost = joined(np.arange(len(at)))
     while len(at):
         first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-        best = np.minimum.reduceat((cost << 22) | np.arange(len(at)), first)
-        alive = (best >> 22) < none
-        win = best[alive] & ((1 << 22) - 1)
+        best = np.minimum.reduceat((cost << 40) | np.arange(len(at)), first)
+        alive = (best >> 40) < none
+        win = best[alive] & low
         size[at[win]] += size[at[win + 1]]
         size[at[win + 1]] = 0
         keep = np.repeat(alive, np.diff(np.append(first, len(at))))
@@ -195,38 +282,61 @@ def relax(table: np.ndarray, rank: np.ndarray, begins: np.ndarray, ends: np.ndar
     return size
 
 
-def encode(column: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Flat ids, and the n+1 offsets of the rows in them."""
+def _parts(data: np.ndarray, offsets: np.ndarray, most: int) -> np.ndarray:
+    """Places that cut the rows, all of whose starts are among them: long rows are cut before a space that follows another character."""
+    cuts = np.unique(offsets)
+    if np.diff(cuts).max(initial=0) <= most:
+        return cuts
+    space = np.flatnonzero((data[1:] == 0x20) & (data[:-1] != 0x20) & (data[:-1] != 0x81)) + 1
+    wanted = np.searchsorted(space, np.arange(most, len(data), most))
+    return np.unique(np.concatenate([cuts, space[wanted[wanted < len(space)]]]))
+
+
+def encode(column: pa.Array, vocabulary: Vocabulary, most: int = PART) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids, and the n+1 offsets of the rows in them. About so many bytes are worked on at a time, however long a text is."""
     data, offsets = buffers(column)
-    rows = len(offsets) - 1
+    cuts = _parts(data, offsets, most)
+    fresh = np.isin(cuts, offsets)
+    out, first = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    begin, total = 0, 0
+    while begin < len(cuts) - 1:
+        end = max(begin + 1, int(np.searchsorted(cuts, cuts[begin] + most, "right")) - 1)
+        ids, own = _encode(data[cuts[begin] : cuts[end]], cuts[begin : end + 1] - cuts[begin], fresh[begin:end], vocabulary)
+        out.append(ids)
+        first.append(total + own[1:])
+        total += len(ids)
+        begin = end
+    return np.concatenate(out), np.concatenate(first)[np.searchsorted(cuts, offsets)]
+
+
+def _encode(data: np.ndarray, offsets: np.ndarray, fresh: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of parts of rows, none of them empty; fresh are those that begin a row and get a mark in front."""
     codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    if not len(codes):
-        return np.zeros(0, np.int32), np.zeros(rows + 1, np.int64)
     places = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-    filled = np.diff(places) > 0
-    begin = places[:-1] + np.cumsum(filled) - filled
-    text = np.full(len(codes) + int(filled.sum()), _MARK, np.uint32)
+    begin = places[:-1] + np.cumsum(fresh) - fresh
+    text = np.full(len(codes) + int(fresh.sum()), _MARK, np.uint32)
     own = np.ones(len(text), bool)
-    own[begin[filled]] = False
+    own[begin[fresh]] = False
     text[own] = np.where(codes == 0x20, _MARK, codes)
     mark = text == _MARK
     start = mark & ~np.concatenate([[False], mark[:-1]])
-    start[begin[filled]] = True
+    start[begin] = True
     starts = np.flatnonzero(start)
     ends = np.append(starts[1:], len(text))
     up, down = powers(len(text) + 1)
     total = np.zeros(len(text) + 1, np.uint64)
     np.cumsum(mix(text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=total[1:])
     _, which, inverse = np.unique(mix((total[ends] - total[starts]) * down[starts]), return_index=True, return_inverse=True)
+    del total, own, mark, codes
     lengths = (ends - starts)[which]
     ends_u = np.cumsum(lengths + 1) - 1
     begins_u = ends_u - lengths
     unique = np.full(int(ends_u[-1]) + 1, _SEPARATOR, np.uint32)
     unique[spread(begins_u, lengths)] = text[spread(starts[which], lengths)]
-    table = edges(unique, vocabulary)
-    size = relax(table, vocabulary.rank, begins_u, ends_u)
+    found = edges(unique, vocabulary)
+    size = relax(found, vocabulary.rank, begins_u, ends_u)
     at = np.flatnonzero(size)
-    ids = table[at, size[at] - 1]
+    ids = found.find(at, size[at])
     alone = np.flatnonzero(size[at] == 1)
     chars, back = np.unique(unique[at[alone]], return_inverse=True)
     spelled = [[vocabulary.single[c]] if c in vocabulary.single else vocabulary.bytes_id[list(chr(c).encode())].tolist() for c in chars.tolist()]
@@ -242,8 +352,7 @@ def encode(column: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.nda
     first = np.cumsum(n_ids) - n_ids
     out = flat[spread(first[inverse], n_ids[inverse])]
     cut = np.concatenate([[0], np.cumsum(n_ids[inverse])])
-    row_cut = np.searchsorted(starts, np.append(begin, len(text)))
-    return out, cut[row_cut]
+    return out, cut[np.searchsorted(starts, np.append(begin, len(text)))]
 
 
 def decode(ids: np.ndarray, first: np.ndarray, vocabulary: Vocabulary) -> pa.Array:
@@ -276,7 +385,7 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 same = pa.array([x == y or (x is not None and x.replace("▁", " ") == y) for x, y in zip(column.to_pylist(), back.to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists(ids, first, pa.int32()), pa.array(np.diff(first).astype(np.int64)), same], ["doc_id", "ids", "n_tokens", "decoded_ok"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded_ok boolean")
+    return texts(docs).mapInArrow(returning(run), "doc_id long, ids array<int>, n_tokens long, decoded_ok boolean")
 
 
 def decoded(tokens: DataFrame, model: str = MODEL) -> DataFrame:
