@@ -45,8 +45,9 @@ def brute(rows, least):
     return sorted((d, b, e) for d, _, b, e in out)
 
 
-@pytest.mark.parametrize("size", [400, 3000, 1 << 20])
-def test_spans_against_brute_force_in_many_shards(docs, size):
+@pytest.mark.parametrize("size,often", [(400, sd.OFTEN), (3000, sd.OFTEN), (1 << 20, sd.OFTEN), (400, 2), (3000, 1)])
+def test_spans_against_brute_force_in_many_shards(docs, size, often, monkeypatch):
+    monkeypatch.setattr(sd, "SAMPLED", 1)
     r = random.Random(4)
     passages = [" ".join(f"p{k}_{i}" for i in range(12 + k * 5)) for k in range(6)]
     rows = []
@@ -58,7 +59,7 @@ def test_spans_against_brute_force_in_many_shards(docs, size):
                 parts.append(r.choice(passages))
         rows.append((d, " ".join(parts)))
     rows += [(100, rows[3][1]), (100, rows[3][1]), (101, "again and " * 30)]
-    got = sorted((x.doc_id, x.begin, x.end) for x in sd.repeated(docs(rows).repartition(3), least=10, gram=5, size=size).collect())
+    got = sorted((x.doc_id, x.begin, x.end) for x in sd.repeated(docs(rows).repartition(3), least=10, gram=5, size=size, often=often).collect())
     assert got == brute(rows, 10) and len(got) > 20
 
 
@@ -81,3 +82,12 @@ def test_shard_sends_one_of_each_kind():
     text = " ".join(f"w{i}" for i in range(60))
     runs, (row, _, _) = sd.shard(pa.array([text, text, text]), least=50, gram=24)
     assert runs[0].tolist() == [0, 1, 2] and len(set(row.tolist())) == 1
+
+
+def test_a_hot_gram_and_a_hot_row(docs, monkeypatch):
+    """A passage of 30 words in every text, followed by words of its own, and one row that is there many times."""
+    monkeypatch.setattr(sd, "SAMPLED", 1)
+    boiler = " ".join(f"b{i}" for i in range(30))
+    rows = [(d, f"u{d} {boiler} " + " ".join(f"v{d % 90}_{k}" for k in range(25))) for d in range(150)] + [(999, boiler + " x y z " + boiler)] * 40
+    got = sorted((x.doc_id, x.begin, x.end) for x in sd.repeated(docs(rows).repartition(4), least=40, gram=12, size=2000, often=8).collect())
+    assert got == sorted(set(brute(rows, 40))) and len(got) == 121

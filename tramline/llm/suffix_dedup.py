@@ -10,13 +10,15 @@ Across shards, each shard sends a sorted run of names: from each window the leas
 anchor, so equal windows have equal anchors at equal places, and there is one in about 13 words. Of windows that are repeated in
 the shard only the first in suffix order sends its anchor. Runs are merged by binary search; names in several places
 are looked up again in their texts, which send the hashes of all windows at these anchors, and those runs are
-merged by binary search too.
+merged by binary search too. A gram that stands in very many texts, such as the words of a licence, doesn't meet in one task: it is
+known to be repeated, and its windows go each by its own hash, of which a shard sends one.
 
 A span is the union of repeated windows that overlap or touch. It is reported for every text in which it stands.
 
 Defined results. Null and empty texts, and texts of fewer than LEAST words, have no spans. Windows don't cross texts. Rows
 of equal doc_id and text are reported once, but they repeat each other; rows without doc_id are reported with a null id. Case and
-punctuation between words don't matter. An empty table gives an empty result. Other columns are not read.
+punctuation between words don't matter. A long text is a shard of its own. An empty table gives an empty result. Other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tramline.llm.shared import store, texts
+from tramline.llm.shared import discard, returning, store, texts
 from tramline.llm.textnum import Words, buffers, lists, pieces, spread, window_hashes
 
 LEAST, GRAM, SHARD = 50, 24, 8 << 20
+#: One row in SAMPLED shows which grams are hot: those with OFTEN rows among them, the HOT most frequent at most. That settles only how
+#: a gram is merged; the result is the same.
+SAMPLED, OFTEN, HOT = 64, 64, 1 << 17
 
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +163,7 @@ def merged(runs: list[np.ndarray]) -> list[np.ndarray]:
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     got = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(got).combine_chunks() if got else None
+    return pa.Table.from_batches(got) if got else None
 
 
 def _sharded(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
@@ -176,7 +181,14 @@ def _sharded(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def repeated(docs: DataFrame, least: int = LEAST, gram: int = GRAM, size: int = SHARD) -> DataFrame:
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Whether each value is in an ordered array."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def repeated(docs: DataFrame, least: int = LEAST, gram: int = GRAM, size: int = SHARD, often: int = OFTEN) -> DataFrame:
     """(doc_id, begin, end): the spans of words, from the first to before the last, that stand elsewhere too."""
     source = texts(docs).withColumn("rid", F.xxhash64("doc_id", "text"))
 
@@ -189,23 +201,47 @@ def repeated(docs: DataFrame, least: int = LEAST, gram: int = GRAM, size: int =
                     rest = [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)) if b is not None else pa.nulls(len(rows), pa.int32()), pa.array(names) if names is not None else pa.nulls(len(rows), pa.int64())]
                     yield pa.RecordBatch.from_arrays([table.column("rid").chunk(0).take(at), table.column("doc_id").chunk(0).take(at), *rest], ["rid", "doc_id", "a", "b", "name"])
 
-    local = store(source.mapInArrow(shards, "rid long, doc_id long, a int, b int, name long"), "shards")
+    local = store(source.mapInArrow(returning(shards), "rid long, doc_id long, a int, b int, name long"), "shards")
+
+    names = local.where("name is not null").select("rid", "a", "name")
+    hot = np.sort(np.array([r.name for r in names.where(F.rand(5) < 1 / SAMPLED).groupBy("name").count().where(F.col("count") >= often).orderBy(F.desc("count"), "name").limit(HOT).collect()], np.int64))
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            is_hot = _among(np.asarray(batch.column("name")), sent.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(is_hot)], ["rid", "a", "name", "hot"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (table := _whole(batches)) is None:
             return
         name, rid, a = (np.asarray(table.column(c)) for c in ("name", "rid", "a"))
-        keep = np.flatnonzero(merged([name])[0])
+        keep = np.flatnonzero(np.concatenate(merged([np.asarray(run) for run in table.column("name").chunks])))
         order = keep[np.lexsort((a[keep], rid[keep]))]
         rid, a = rid[order], a[order]
+        # A row that is there many times asks once.
+        new = np.ones(len(rid), bool)
+        new[1:] = (rid[1:] != rid[:-1]) | (a[1:] != a[:-1])
+        rid, a = rid[new], a[new]
         first = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]])) if len(rid) else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(rid[first]), lists(a, np.append(first, len(a)), pa.int32())], ["rid", "places"])
 
-    names = local.where("name is not null").select("rid", "a", "name")
-    found = names.repartition("name").mapInArrow(meet, "rid long, places array<int>").groupBy("rid").agg(F.flatten(F.collect_list("places")).alias("places"))
+    found = (names if not len(hot) else (marked := names.mapInArrow(split, "rid long, a int, name long, hot boolean")).where("not hot").drop("hot")).repartition("name").mapInArrow(meet, "rid long, places array<int>")
+    if len(hot):
+        # A hot gram stands in several places, so it is looked up without a meeting.
+        found = found.unionByName(marked.where("hot").groupBy("rid", "a").count().select("rid", F.array("a").alias("places")))
+    found = found.groupBy("rid").agg(F.flatten(F.collect_list("places")).alias("places"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
         for batch in batches:
+            # Two of a task's equal rows show that they are repeated; the others would say the same.
+            again = np.zeros(batch.num_rows, bool)
+            for i, rid in enumerate(batch.column("rid").to_pylist()):
+                seen[rid] = times = seen.get(rid, 0) + 1
+                again[i] = times > 2
+            if again.any():
+                batch = batch.filter(pa.array(~again))
             for part in pieces(batch):
                 words = Words(part.column("text"))
                 row, name, place, low, high = anchors(words, least, gram)
@@ -219,15 +255,26 @@ def repeated(docs: DataFrame, least: int = LEAST, gram: int = GRAM, size: int =
                 whole = window_hashes(words.hashes, least)
                 count = high[hit] - low[hit] + 1
                 flat = whole[spread(words.first[row[hit]] + low[hit], count)].view(np.int64)
-                at = pa.array(row[hit])
-                yield pa.RecordBatch.from_arrays([pa.array(name[hit].view(np.int64)), part.column("rid").take(at), part.column("doc_id").take(at), pa.array(low[hit].astype(np.int32)), lists(flat, np.concatenate([[0], np.cumsum(count)]), pa.int64())], ["name", "rid", "doc_id", "a", "windows"])
+                key, at, begin = name[hit].view(np.int64), row[hit], low[hit]
+                hot = _among(key, sent.value)
+                if hot.any():
+                    # The windows at a hot gram go each by its own hash.
+                    alone = np.repeat(hot, count)
+                    begin = np.concatenate([begin[~hot], spread(low[hit][hot], count[hot])])
+                    at = np.concatenate([at[~hot], np.repeat(at[hot], count[hot])])
+                    key = np.concatenate([key[~hot], flat[alone]])
+                    flat = np.concatenate([flat[~alone], flat[alone]])
+                    count = np.concatenate([count[~hot], np.ones(int(alone.sum()), np.int64)])
+                at = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(key), part.column("rid").take(at), part.column("doc_id").take(at), pa.array(begin.astype(np.int32)), lists(flat, np.concatenate([[0], np.cumsum(count)]), pa.int64())], ["key", "rid", "doc_id", "a", "windows"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (table := _whole(batches)) is None:
             return
-        windows = table.column("windows").chunk(0)
-        count = np.diff(np.asarray(windows.offsets))
-        again = merged([np.asarray(windows.flatten())])[0]
+        runs = table.column("windows").chunks
+        count = np.concatenate([np.diff(np.asarray(run.offsets)) for run in runs])
+        again = np.concatenate(merged([np.asarray(run.flatten()) for run in runs]))
+        table = table.select(["rid", "doc_id", "a"]).combine_chunks()
         owner = np.repeat(np.arange(len(count)), count)
         start = np.arange(len(again)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(np.asarray(table.column("a")), count)
         fresh = again.copy()
@@ -237,9 +284,9 @@ def repeated(docs: DataFrame, least: int = LEAST, gram: int = GRAM, size: int =
         at = pa.array(owner[fresh])
         yield pa.RecordBatch.from_arrays([table.column("rid").chunk(0).take(at), table.column("doc_id").chunk(0).take(at), pa.array(start[fresh].astype(np.int32)), pa.array(start[end].astype(np.int32))], ["rid", "doc_id", "a", "b"])
 
-    looked = source.join(found, "rid").select("rid", "doc_id", "text", "places").mapInArrow(look, "name long, rid long, doc_id long, a int, windows array<long>")
+    looked = source.join(found, "rid").select("rid", "doc_id", "text", "places").mapInArrow(returning(look), "key long, rid long, doc_id long, a int, windows array<long>")
     # A row that is there twice is asked twice and would seem to repeat itself in equal places: it does, as the two rows do.
-    across = looked.repartition("name").mapInArrow(merge, "rid long, doc_id long, a int, b int")
+    across = looked.repartition("key").mapInArrow(returning(merge), "rid long, doc_id long, a int, b int")
     runs = local.where("name is null").select("rid", "doc_id", "a", "b").unionByName(across)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +307,9 @@ def repeated(docs: DataFrame, least: int = LEAST, gram: int = GRAM, size: int =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[head])), pa.array(a[head]), pa.array(reach[tail] - row[tail] * wide)], ["doc_id", "begin", "end"])
 
     grouped = runs.groupBy("rid", "doc_id").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    return grouped.mapInArrow(spans, "doc_id long, begin long, end long")
+    out = store(grouped.mapInArrow(spans, "doc_id long, begin long, end long"), "spans")
+    discard(local)
+    return out
 
 
 def sql(least: int = LEAST) -> str:
