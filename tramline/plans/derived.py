@@ -65,9 +65,13 @@ class Derived:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """One DataFrame for each table, as reading its schema is a job."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     @property
     def locations(self) -> DataFrame:
@@ -82,9 +86,12 @@ class Derived:
 
     @property
     def stop_times(self) -> DataFrame:
+        return self._stop_times(self.table("lineitem"))
+
+    def _stop_times(self, lines: DataFrame) -> DataFrame:
         k = F.col("l_orderkey")
         order = Window.partitionBy("l_orderkey").orderBy(*_ORDER.split(", "))
-        own = self.table("lineitem").withColumn("rn", (F.row_number().over(order) - 1).cast("long"))
+        own = lines.withColumn("rn", (F.row_number().over(order) - 1).cast("long"))
         leg = F.when(F.col("rn") == 0, 0).otherwise(3 + F.floor("l_quantity") % 25)
         # Rows before the current one in the same order: one shuffle and one sort serve both windows.
         at = (k * 37) % 1200 + F.sum(leg).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -97,7 +104,10 @@ class Derived:
 
     @property
     def events_on(self) -> DataFrame:
-        return self.stop_times.join(self.active.select("trip_id", "route_id", "clasz"), "trip_id")
+        # Whole trips go before their stops are sorted; the stops' order within a trip doesn't change by that.
+        active = self.active.select("trip_id", "route_id", "clasz")
+        lines = self.table("lineitem").join(active.select(F.col("trip_id").alias("l_orderkey")), "l_orderkey", "left_semi")
+        return self._stop_times(lines).join(active, "trip_id")
 
     @property
     def footpaths(self) -> DataFrame:

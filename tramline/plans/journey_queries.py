@@ -29,7 +29,7 @@ def _rounds_sql(most: int, starts: str = f"SELECT 0::BIGINT AS q, {START}::BIGIN
 
 
 def _search(d: Derived, **options) -> journeys.Search:
-    return journeys.Search(d.events_on, written(d.locations, "locations"), written(d.footpaths, "footpaths"), **options)
+    return journeys.Search(d.events_on, d.locations, d.footpaths, **options)
 
 
 def _start(d: Derived) -> DataFrame:
@@ -61,7 +61,7 @@ _MIRROR = "mirror AS (SELECT trip_id, -stop_seq AS stop_seq, location_id, -dep A
 @query(_TABLES, _MIRROR + _rounds_sql(2, f"SELECT 0::BIGINT AS q, {TARGET}::BIGINT AS l, -1000::BIGINT AS t", "mirror") + " SELECT l AS location_id, -t AS dep FROM arr_2")
 def latest_departure_rounds(d: Derived) -> DataFrame:
     """Backwards: the latest departure from each stop that still reaches one stop by a time. The derived footpaths are symmetric."""
-    search = journeys.Search(journeys.mirrored(d.events_on), written(d.locations, "locations"), written(d.footpaths, "footpaths"))
+    search = journeys.Search(journeys.mirrored(d.events_on), d.locations, d.footpaths)
     starts = d.spark.createDataFrame([(0, TARGET, -1000)], "query_id long, location_id long, time long")
     return journeys.one_to_all(journeys.rounds(search, starts, 2)).select("location_id", (-F.col("arr")).alias("dep"))
 
