@@ -56,24 +56,140 @@ def applied(stop_events: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def matched_stops(updates: DataFrame, stop_events: DataFrame) -> DataFrame:
-    """Updates (event_id, trip_id, position, stop_seq or location_id) with their stop: by sequence number, else the first
-    call at the stop behind the one of the update before."""
-    by_seq = updates.where("stop_seq is not null").join(stop_events.select("trip_id", "stop_seq", F.col("location_id").alias("at_id")), ["trip_id", "stop_seq"]).select("event_id", "trip_id", "position", "stop_seq", "at_id")
-    rest = updates.where("stop_seq is null").select("event_id", "trip_id", "position", F.col("location_id").alias("at_id"))
-    prior = by_seq.select("trip_id", F.col("position").alias("p"), F.col("stop_seq").alias("s"))
-    floor = rest.join(prior, "trip_id", "left").groupBy("event_id", "trip_id", "position", "at_id").agg(F.max(F.when(F.col("p") < F.col("position"), F.col("s"))).alias("after"))
-    found = floor.join(stop_events.select("trip_id", "stop_seq", F.col("location_id").alias("at_id")), ["trip_id", "at_id"]).where("after is null or stop_seq > after").groupBy("event_id", "trip_id", "position", "at_id").agg(F.min("stop_seq").alias("stop_seq"))
-    return by_seq.unionByName(found.select(*by_seq.columns))
+    """Updates (event_id, trip_id, position, stop_seq, location_id) with the stop that they mean: (.., stop_seq, at_id).
+
+    A cursor moves forward along the trip: each update, in order of position, takes the first stop at or behind the cursor that has its
+    sequence number or is its stop, and the cursor goes behind it. An update that fits none is dropped. A trip's stops and updates are
+    folded JVM-side; both are bounded by the length of a trip.
+    """
+    stops = stop_events.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("stop_seq", "location_id"))).alias("stops"))
+    u = F.struct("position", "event_id", F.col("stop_seq").cast("long").alias("seq"), F.col("location_id").alias("at"))
+    asked = updates.groupBy("trip_id").agg(F.array_sort(F.collect_list(u)).alias("asked"))
+    rows = asked.join(stops, "trip_id")
+
+    def step(acc, x):
+        fits = F.transform(F.col("stops"), lambda s, i: F.when((i >= acc["cursor"]) & (F.coalesce(s["stop_seq"] == x["seq"], F.lit(False)) | F.coalesce(s["location_id"] == x["at"], F.lit(False))), i))
+        at = F.array_min(fits)
+        return F.struct(F.coalesce(at + 1, acc["cursor"]).alias("cursor"), F.concat(acc["found"], F.array(at)).alias("found"))
+
+    empty = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<int>").alias("found"))
+    met = rows.select("trip_id", "stops", F.explode(F.arrays_zip("asked", F.aggregate("asked", empty, step)["found"].alias("found"))).alias("x"))
+    met = met.where("x.found is not null").withColumn("s", F.expr("stops[x.found]"))
+    return met.select("x.asked.event_id", "trip_id", "x.asked.position", "s.stop_seq", F.col("s.location_id").alias("at_id"))
+
+
+def retimed(stop_events: DataFrame, updates: DataFrame) -> DataFrame:
+    """(trip_id, stop_seq, arr, dep): times of the trips that have updates (trip_id, stop_seq, arr_delay, dep_delay, arr_time, dep_time).
+
+    The events of a trip are gone through in order. One with a delay of its own gets it, else one with an absolute time that time, else it
+    has the last delay; nothing comes before the event before it. Before the first update times stay as planned. A first
+    departure without an update takes that of its arrival. Delays are minutes, as absolute times are.
+    """
+    per_stop = updates.groupBy("trip_id", "stop_seq").agg(*(F.max(c).alias(c) for c in ("arr_delay", "dep_delay", "arr_time", "dep_time")))
+    known = stop_events.join(updates.select("trip_id").distinct(), "trip_id", "left_semi").join(per_stop, ["trip_id", "stop_seq"], "left")
+    stop = F.struct("stop_seq", "arr", "dep", "arr_delay", "dep_delay", "arr_time", "dep_time")
+    trips = known.groupBy("trip_id").agg(F.array_sort(F.collect_list(stop)).alias("stops"))
+
+    def event(planned, delay, time, before):
+        return F.struct(planned.alias("planned"), delay.cast("long").alias("delay"), time.cast("long").alias("time"), before.cast("long").alias("before"))
+
+    def events(s, i):
+        previous = F.expr("stops")[F.greatest(i - 1, F.lit(0))]["dep"]
+        arr = event(s["arr"], s["arr_delay"], s["arr_time"], previous)
+        own = s["dep_delay"].isNotNull() | s["dep_time"].isNotNull()
+        first = (i == 0) & ~own
+        dep = event(s["dep"], F.when(first, s["arr_delay"]).otherwise(s["dep_delay"]), F.when(first, s["arr_time"]).otherwise(s["dep_time"]), F.when(i == 0, F.lit(None)).otherwise(s["arr"]))
+        return F.when(i == 0, F.array(dep)).when(i == F.size("stops") - 1, F.array(arr)).otherwise(F.array(arr, dep))
+
+    def step(acc, e):
+        floor = F.coalesce(acc["at"], e["before"], e["planned"] - 100_000)
+        new = F.when(e["delay"].isNotNull(), F.greatest(floor, e["planned"] + e["delay"])).when(e["time"].isNotNull(), F.greatest(floor, e["time"])).when(acc["at"].isNotNull(), F.greatest(acc["at"], e["planned"] + acc["late"]))
+        late = F.when(e["delay"].isNotNull(), e["delay"]).when(e["time"].isNotNull(), new - e["planned"]).otherwise(acc["late"])
+        out = F.greatest(F.coalesce(new, e["planned"]), F.coalesce(F.try_element_at(acc["out"], F.lit(-1)), F.coalesce(new, e["planned"])))
+        return F.struct(F.coalesce(new, acc["at"]).alias("at"), late.alias("late"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    none = F.lit(None).cast("long")
+    start = F.struct(none.alias("at"), none.alias("late"), F.array().cast("array<bigint>").alias("out"))
+    times = trips.withColumn("events", F.flatten(F.transform("stops", events))).withColumn("out", F.aggregate("events", start, step)["out"])
+    # Event 0 is the first departure; the arrival of stop i is event 2i - 1, its departure event 2i.
+    rows = times.select("trip_id", "out", F.size("stops").alias("n"), F.posexplode("stops").alias("i", "s"))
+    arr, dep = F.expr("get(out, 2 * i - 1)"), F.expr("get(out, 2 * i)")
+    return rows.select("trip_id", "s.stop_seq", F.coalesce(arr, F.col("s.arr") + dep - F.col("s.dep")).alias("arr"), F.coalesce(dep, F.col("s.dep") + arr - F.col("s.arr")).alias("dep"))
+
+
+def run_updates(stop_events: DataFrame, updates: DataFrame, same_place: DataFrame | None = None) -> DataFrame:
+    """The overlay (see applied()) of messages: (trip_id, stop_seq, location_id, arr, dep, in_allowed, out_allowed, cancelled).
+
+    updates are (event_id, trip_id, position, stop_seq, location_id, arr_delay, dep_delay, arr_time, dep_time, skipped, cancelled, assigned_id), a
+    row a stop, position null in a message without stops. They are matched by a cursor, retimed, and skipped or moved to the assigned stop, if
+    that is one of same_place (location_id, other_id) to the planned one. A trip of which one stop or none is left is cancelled.
+    """
+    stops = updates.where("position is not null")
+    found = matched_stops(stops.select("event_id", "trip_id", "position", "stop_seq", "location_id"), stop_events).select("event_id", "trip_id", "position", "stop_seq")
+    rest = ["arr_delay", "dep_delay", "arr_time", "dep_time", "skipped", "assigned_id", F.col("location_id").alias("named_id")]
+    met = found.join(stops.select("event_id", "trip_id", "position", *rest), ["event_id", "trip_id", "position"])
+    shown = met.where("not skipped")
+    # A trip without a stop that matches has its planned times, though it may be cancelled.
+    times = retimed(stop_events, shown.select("trip_id", "stop_seq", "arr_delay", "dep_delay", "arr_time", "dep_time"))
+    per_stop = met.groupBy("trip_id", "stop_seq").agg(F.bool_or("skipped").alias("skipped"), F.max(F.coalesce("assigned_id", "named_id")).alias("wanted"))
+    gone = updates.groupBy("trip_id").agg(F.bool_or("cancelled").alias("gone"))
+    own = stop_events.join(gone, "trip_id").join(per_stop, ["trip_id", "stop_seq"], "left").join(times.select("trip_id", "stop_seq", F.col("arr").alias("new_arr"), F.col("dep").alias("new_dep")), ["trip_id", "stop_seq"], "left")
+    if same_place is not None:
+        own = own.join(same_place.select("location_id", F.col("other_id").alias("wanted"), F.col("other_id").alias("moved")).distinct(), ["location_id", "wanted"], "left")
+    else:
+        own = own.withColumn("moved", F.lit(None).cast(stop_events.schema["location_id"].dataType))
+    skipped = F.coalesce("skipped", F.lit(False))
+    left = F.sum((~skipped & (F.col("in_allowed") | F.col("out_allowed"))).cast("int")).over(Window.partitionBy("trip_id"))
+    own = own.withColumn("cancelled", F.col("gone") | (left <= 1)).withColumn("usable", ~(skipped | F.col("cancelled")))
+    return own.select("trip_id", "stop_seq", F.when(skipped, F.col("location_id")).otherwise(F.coalesce("moved", "location_id")).alias("location_id"), F.coalesce("new_arr", "arr").alias("arr"), F.coalesce("new_dep", "dep").alias("dep"), (F.col("in_allowed") & F.col("usable")).alias("in_allowed"), (F.col("out_allowed") & F.col("usable")).alias("out_allowed"), "cancelled")
+
+
+def added(updates: DataFrame, locations: DataFrame, limit: float = MOST_SPEED_M_S) -> DataFrame:
+    """Stop events of trips that no timetable has: updates (trip_id, position, location_id, arr_time, dep_time, in_allowed, out_allowed), a row a stop.
+
+    All stops must be known and have an absolute time, and no section may be too fast, else the whole trip is left out. A missing time is
+    that of the event before it, and none comes before the one before.
+    """
+    own = updates.select("trip_id", F.col("position").cast("long").alias("stop_seq"), "location_id", F.col("arr_time").alias("arr"), F.col("dep_time").alias("dep"), "in_allowed", "out_allowed")
+    own = own.join(plausible(own, locations, limit).select("trip_id"), "trip_id", "left_semi")
+    w = Window.partitionBy("trip_id").orderBy("stop_seq")
+    before = F.max(F.greatest("arr", "dep")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    arr = F.coalesce(F.greatest("arr", before), "dep")
+    return own.withColumn("new", arr).select("trip_id", "stop_seq", "location_id", F.col("new").alias("arr"), F.greatest("dep", "new").alias("dep"), "in_allowed", "out_allowed")
+
+
+def tracks(stops: DataFrame, overrides: DataFrame) -> DataFrame:
+    """stops (trip_id, stop_seq, event, track) with the track of overrides (trip_id, stop_seq, event, track), where there is one."""
+    own = overrides.select("trip_id", "stop_seq", "event", F.col("track").alias("changed"))
+    return stops.join(own, ["trip_id", "stop_seq", "event"], "left").select("trip_id", "stop_seq", "event", F.coalesce("changed", "track").alias("track"))
+
+
+def lower_bounds(planned: DataFrame, changed: DataFrame, footpaths: DataFrame, roots: DataFrame) -> DataFrame:
+    """(from_id, to_id, minutes): the edges of routes.lower_bound_edges() with what the overlay's trips make shorter or add."""
+    from tramline.operators.routes import lower_bound_edges
+
+    both = lower_bound_edges(planned, footpaths, roots).unionByName(lower_bound_edges(changed.where("not cancelled"), footpaths.limit(0), roots))
+    return both.groupBy("from_id", "to_id").agg(F.min("minutes").alias("minutes"))
+
+
+def run_stops(stop_events: DataFrame, changed: DataFrame, locations: DataFrame) -> DataFrame:
+    """One row a stop of each run: its name and station, planned and expected times, delays, whether it is the first or last, and what is allowed."""
+    own = stop_events.join(changed.select("trip_id", "stop_seq", F.col("location_id").alias("now_id"), F.col("arr").alias("rt_arr"), F.col("dep").alias("rt_dep"), F.col("in_allowed").alias("rt_in"), F.col("out_allowed").alias("rt_out"), "cancelled"), ["trip_id", "stop_seq"], "left")
+    own = own.withColumn("location_id", F.coalesce("now_id", "location_id")).join(locations.select("location_id", "name", F.coalesce("parent_id", "location_id").alias("station_id")), "location_id")
+    w = Window.partitionBy("trip_id")
+    names = F.last("name").over(w.orderBy("stop_seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return own.select("trip_id", "stop_seq", "location_id", "name", "station_id", names.alias("direction"), F.col("arr").alias("planned_arr"), F.col("dep").alias("planned_dep"), F.coalesce("rt_arr", "arr").alias("arr"), F.coalesce("rt_dep", "dep").alias("dep"), (F.coalesce("rt_arr", "arr") - F.col("arr")).alias("arr_delay"), (F.coalesce("rt_dep", "dep") - F.col("dep")).alias("dep_delay"), F.coalesce("rt_in", "in_allowed").alias("in_allowed"), F.coalesce("rt_out", "out_allowed").alias("out_allowed"), F.coalesce("cancelled", F.lit(False)).alias("cancelled"), (F.col("stop_seq") == F.min("stop_seq").over(w)).alias("is_first"), (F.col("stop_seq") == F.max("stop_seq").over(w)).alias("is_last"))
 
 
 def plausible(stops: DataFrame, locations: DataFrame, limit: float = MOST_SPEED_M_S) -> DataFrame:
-    """(trip_id, stops): added trips (trip_id, stop_seq, location_id, arr, dep) of two known stops at least, none of whose sections is faster
-    than the limit; a section counts as a minute at least."""
-    own = stops.join(locations.select("location_id", "lat", "lng"), "location_id")
+    """(trip_id, stops): added trips (trip_id, stop_seq, location_id, arr, dep) of two stops at least, all of them known and with a time, none of
+    whose sections is faster than the limit. A stop's time is its departure, else its arrival; a section counts as a minute at least."""
+    own = stops.join(locations.select("location_id", "lat", "lng"), "location_id", "left")
     w = Window.partitionBy("trip_id").orderBy("stop_seq")
-    seconds = F.greatest((F.col("arr") - F.lag("dep").over(w)) * 60, F.lit(60))
+    at = F.coalesce("dep", "arr")
+    seconds = F.greatest((at - F.lag(at).over(w)) * 60, F.lit(60))
     speed = haversine_m(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng")) / seconds
-    return own.withColumn("speed", speed).groupBy("trip_id").agg(F.count("*").alias("stops"), F.max("speed").alias("top")).where(f"stops >= 2 and coalesce(top, 0) <= {limit}").select("trip_id", "stops")
+    return own.withColumn("speed", speed).groupBy("trip_id").agg(F.count("*").alias("stops"), F.count("lat").alias("known"), F.count(at).alias("timed"), F.max("speed").alias("top")).where(f"stops >= 2 and known = stops and timed = stops and coalesce(top, 0) <= {limit}").select("trip_id", "stops")
 
 
 def vehicle_delays(positions: DataFrame, stop_events: DataFrame, locations: DataFrame) -> DataFrame:

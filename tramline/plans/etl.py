@@ -49,9 +49,9 @@ def interpolate_stop_times(d: Derived) -> DataFrame:
     return stop_times.interpolated(own).select("trip_id", "stop_seq", "arr", "dep")
 
 
-@query("stop_times", "SELECT trip_id, location_id, row_number() OVER (PARTITION BY trip_id ORDER BY stop_seq) - 1 AS stop_seq FROM stop_times WHERE stop_seq % 2 = 0")
+@query("stop_times", "SELECT trip_id, location_id, row_number() OVER (PARTITION BY trip_id ORDER BY stop_seq) - 1 AS stop_seq FROM (SELECT trip_id, location_id, stop_seq * 10 + trip_id % 7 AS stop_seq FROM stop_times)")
 def resequence_stops(d: Derived) -> DataFrame:
-    return stop_times.resequenced(d.stop_times.where("stop_seq % 2 = 0")).select("trip_id", "location_id", "stop_seq")
+    return stop_times.resequenced(d.stop_times.withColumn("stop_seq", F.col("stop_seq") * 10 + F.col("trip_id") % 7)).select("trip_id", "location_id", "stop_seq")
 
 
 @query("trips", """f AS (SELECT trip_id, (trip_id * 37) % 1200 AS s, 60 + trip_id % 120 AS long, 10 + trip_id % 20 AS headway FROM trips)
@@ -136,10 +136,10 @@ def footpath_closure(d: Derived) -> DataFrame:
     return footpaths.closed(d.footpaths, d.locations, 12)
 
 
-@query("locations", """e AS (SELECT location_id // 50 AS group_id, location_id FROM locations WHERE location_id % 10 = 0)
+@query("locations", """e AS (SELECT location_id // 50 AS group_id, location_id FROM locations)
     SELECT group_id, location_id FROM e UNION SELECT group_id, l.location_id FROM e JOIN locations l ON l.parent_id = e.location_id""")
 def stop_group_members(d: Derived) -> DataFrame:
-    own = d.locations.where("location_id % 10 = 0").select(F.floor(F.col("location_id") / 50).alias("group_id"), "location_id")
+    own = d.locations.select(F.floor(F.col("location_id") / 50).alias("group_id"), "location_id")
     return footpaths.expand_groups(own, d.locations)
 
 
@@ -192,18 +192,19 @@ def block_chains(d: Derived) -> DataFrame:
 @query()
 def seated_paths(d: Derived) -> DataFrame:
     """Links lead from a trip to those with twice its number, and one more, within blocks of 64."""
-    own = d.trips.where("trip_id % 64 between 1 and 15").select(F.col("trip_id").alias("from_trip"), (F.col("trip_id") % 64 * 2 + F.floor(F.col("trip_id") / 64) * 64).alias("a"))
-    links = own.select("from_trip", F.explode(F.array("a", F.col("a") + 1)).alias("to_trip"))
+    at = F.col("trip_id") % 64
+    low = F.when((at >= 1) & (at < 32), at * 2 + F.floor(F.col("trip_id") / 64) * 64)
+    links = d.trips.select(F.col("trip_id").alias("from_trip"), low.alias("a")).where("a is not null").select("from_trip", F.explode(F.array("a", F.col("a") + 1)).alias("to_trip"))
     return routes.seated_paths(links, d.trips)
 
 
-@query("events_on active service_days", """e AS (SELECT trip_id, string_agg(location_id // 5, ',' ORDER BY stop_seq) AS path, list(arr ORDER BY stop_seq) AS a, list(dep ORDER BY stop_seq) AS d FROM events_on WHERE stop_seq < 2 GROUP BY trip_id),
+@query("events_on active service_days", """e AS (SELECT trip_id, string_agg(location_id // 5, ',' ORDER BY stop_seq) AS path, list(arr ORDER BY stop_seq) AS a, list(dep ORDER BY stop_seq) AS d FROM events_on GROUP BY trip_id),
     p AS (SELECT x.trip_id AS kept, y.trip_id AS dropped FROM e x JOIN e y ON x.path = y.path AND x.d[1] = y.d[1] AND x.trip_id < y.trip_id
         WHERE list_sum(list_transform(range(1, len(x.a) + 1), lambda i: abs(x.a[i] - y.a[i]) + abs(x.d[i] - y.d[i]))) < len(x.a))
     SELECT kept, dropped, s.day::BIGINT AS day FROM p JOIN service_days s ON s.trip_id = kept JOIN service_days t ON t.trip_id = dropped AND s.day = t.day""")
 def duplicate_trips(d: Derived) -> DataFrame:
     equal = d.locations.select("location_id", F.floor(F.col("location_id") / 5).alias("group_id"))
-    return routes.duplicates(d.events_on.where("stop_seq < 2"), d.service_days, equal).select("kept", "dropped", "day")
+    return routes.duplicates(d.events_on, d.service_days, equal).select("kept", "dropped", "day")
 
 
 @query("events_on", """p AS (SELECT a.trip_id AS first_trip, b.trip_id AS next_trip FROM (SELECT trip_id, arg_max(location_id, stop_seq) AS t, max(arr) AS a FROM events_on GROUP BY 1) a

@@ -85,14 +85,14 @@ def trip_reference(d: Derived) -> DataFrame:
 
 
 _EQUAL = "eq AS (SELECT a.location_id AS f, b.location_id AS t FROM locations a JOIN locations b ON a.name = b.name AND a.location_id <> b.location_id), tree AS (SELECT location_id, coalesce(parent_id, location_id) AS root FROM locations)"
-_FAMILY = _EQUAL + """, w AS (SELECT location_id AS asked FROM locations WHERE location_id % 4 = 1), fam AS (SELECT asked, b.location_id FROM w JOIN tree a ON a.location_id = asked JOIN tree b USING (root)),
+_FAMILY = _EQUAL + """, w AS (SELECT location_id AS asked FROM locations), fam AS (SELECT asked, b.location_id FROM w JOIN tree a ON a.location_id = asked JOIN tree b USING (root)),
     more AS (SELECT DISTINCT asked, c.location_id FROM fam JOIN eq ON f = fam.location_id JOIN tree b ON b.location_id = t JOIN tree c USING (root)), family AS (SELECT * FROM fam UNION SELECT * FROM more)"""
 
 
 def _family(d: Derived) -> DataFrame:
     names = d.locations.select(F.col("location_id").alias("to_id"), "name")
     equal = d.locations.select(F.col("location_id").alias("from_id"), "name").join(names, "name").where("from_id <> to_id").select("from_id", "to_id")
-    return matching.expand_locations(d.locations.where("location_id % 4 = 1"), d.locations, "equivalent", equal)
+    return matching.expand_locations(d.locations, d.locations, "equivalent", equal)
 
 
 @query("locations", _FAMILY + " SELECT asked, location_id FROM family")
@@ -100,9 +100,9 @@ def match_equivalent(d: Derived) -> DataFrame:
     return _family(d)
 
 
-@query("locations", "SELECT location_id AS asked, location_id FROM locations WHERE location_id % 4 = 1 OR parent_id IS NULL AND location_id % 2 = 0 UNION SELECT p.location_id, c.location_id FROM locations c JOIN locations p ON c.parent_id = p.location_id WHERE p.location_id % 4 = 1 OR p.parent_id IS NULL AND p.location_id % 2 = 0")
+@query("locations", "SELECT location_id AS asked, location_id FROM locations UNION SELECT p.location_id, c.location_id FROM locations c JOIN locations p ON c.parent_id = p.location_id")
 def match_children(d: Derived) -> DataFrame:
-    return matching.expand_locations(d.locations.where("location_id % 4 = 1 or parent_id is null and location_id % 2 = 0"), d.locations, "children")
+    return matching.expand_locations(d.locations, d.locations, "children")
 
 
 @query("events_on locations", _FAMILY + " SELECT trip_id, stop_seq, location_id FROM events_on WHERE location_id IN (SELECT location_id FROM family WHERE asked = 1)")
@@ -166,14 +166,15 @@ def td_edge_bwd(d: Derived) -> DataFrame:
     return matching.td_backward(_td_asked(d, "to_id"), _steps(d)).select("from_id", "to_id", "minutes")
 
 
-_BOARD, _OFF = "location_id % 5 IN (1, 2)", "location_id % 5 IN (3, 4)"
+#: Stops of the start and of the destination of direct connections: two stations with their children.
+_BOARD, _OFF = "location_id IN (1, 2, 3, 4, 5, 6, 7)", "location_id IN (11, 12, 13, 14, 15, 16, 17)"
 
 
-@query("events_on", f"SELECT a.trip_id, a.location_id AS from_id, b.location_id AS to_id, a.dep, b.arr FROM events_on a JOIN events_on b ON {_ALIGHT} WHERE a.{_BOARD} AND b.{_OFF}")
+@query("events_on", f"SELECT a.trip_id, a.location_id AS from_id, b.location_id AS to_id, a.dep, b.arr FROM events_on a JOIN events_on b ON {_ALIGHT}")
 def direct_connections(d: Derived) -> DataFrame:
     own = d.events_on
-    board = own.where(_BOARD).where("in_allowed").select("trip_id", F.col("stop_seq").alias("board_seq"))
-    return rides.rides(own, board).where(_OFF.replace("location_id", "to_id")).select("trip_id", "from_id", "to_id", "dep", "arr")
+    board = own.where("in_allowed").select("trip_id", F.col("stop_seq").alias("board_seq"))
+    return rides.rides(own, board).select("trip_id", "from_id", "to_id", "dep", "arr")
 
 
 @query("events_on", f"""m AS (SELECT *, {_BOARD} AND in_allowed AS b, {_OFF} AND out_allowed AS a FROM events_on), g AS (SELECT *, sum(a::INT) OVER (PARTITION BY trip_id ORDER BY stop_seq) AS done FROM m WHERE a OR b),
@@ -210,13 +211,13 @@ def radius_join(d: Derived) -> DataFrame:
     return pairs.select(F.col("a_location_id").alias("a"), F.col("b_location_id").alias("b"), F.round("metres", 3).alias("metres"))
 
 
-@query("events_on", """m AS (SELECT trip_id AS message_id, location_id, dep + trip_id % 7 AS time FROM events_on WHERE trip_id % 5 = 0),
+@query("events_on", """m AS (SELECT trip_id AS message_id, location_id, dep + trip_id % 7 AS time FROM events_on),
     p AS (SELECT message_id, m.location_id, time, e.trip_id, max(230 - pow(abs(e.dep - time), 2)) AS points FROM m JOIN events_on e ON e.location_id = m.location_id AND abs(e.dep - time) <= 15 GROUP BY 1, 2, 3, 4),
     s AS (SELECT message_id, trip_id, sum(points) / (230.0 * any_value(n)) AS score FROM p JOIN (SELECT message_id, count(*) AS n FROM m GROUP BY 1) USING (message_id) GROUP BY 1, 2)
     SELECT message_id, trip_id, round(score, 6) AS score FROM s WHERE score >= 0.5 QUALIFY score >= max(score) OVER (PARTITION BY message_id) * 0.975""")
 def fuzzy_run_match(d: Derived) -> DataFrame:
     own = d.events_on
-    messages = own.where("trip_id % 5 = 0").select(F.col("trip_id").alias("message_id"), "location_id", (F.col("dep") + F.col("trip_id") % 7).alias("time"))
+    messages = own.select(F.col("trip_id").alias("message_id"), "location_id", (F.col("dep") + F.col("trip_id") % 7).alias("time"))
     return matching.likely_runs(messages, own).select("message_id", "trip_id", F.round("score", 6).alias("score"))
 
 
@@ -316,16 +317,17 @@ def slow_direct(d: Derived) -> DataFrame:
     return rides.slow(own, 1.5)
 
 
-@query("locations footpaths", _EQUAL + ", w AS (SELECT location_id FROM locations WHERE location_id % 9 = 2), m AS (SELECT b.location_id FROM w JOIN tree a USING (location_id) JOIN tree b USING (root)) SELECT location_id FROM m UNION SELECT to_id FROM m JOIN footpaths ON from_id = location_id")
+@query("locations footpaths", _EQUAL + ", w AS (SELECT location_id FROM locations WHERE location_id IN (2, 11)), m AS (SELECT b.location_id FROM w JOIN tree a USING (location_id) JOIN tree b USING (root)) SELECT location_id FROM m UNION SELECT to_id FROM m JOIN footpaths ON from_id = location_id")
 def candidate_union(d: Derived) -> DataFrame:
-    own = matching.expand_locations(d.locations.where("location_id % 9 = 2"), d.locations, "equivalent").select("location_id")
+    """Where one may begin who wants to start at two stops: their stations and what is on foot from there."""
+    own = matching.expand_locations(d.locations.where("location_id in (2, 11)"), d.locations, "equivalent").select("location_id")
     return own.unionByName(own.join(d.footpaths, F.col("location_id") == F.col("from_id")).select(F.col("to_id").alias("location_id"))).distinct()
 
 
-@query("events_on", f"SELECT route_id FROM events_on WHERE {_BOARD} AND in_allowed INTERSECT SELECT route_id FROM events_on WHERE location_id % 35 = 4 AND out_allowed")
+@query("events_on", f"SELECT route_id FROM events_on WHERE {_BOARD} AND in_allowed INTERSECT SELECT route_id FROM events_on WHERE {_OFF} AND out_allowed")
 def route_intersection(d: Derived) -> DataFrame:
     own = d.events_on
-    return own.where(_BOARD).where("in_allowed").select("route_id").intersect(own.where("location_id % 35 = 4 and out_allowed").select("route_id"))
+    return own.where(_BOARD).where("in_allowed").select("route_id").intersect(own.where(_OFF).where("out_allowed").select("route_id"))
 
 
 @query("service_days", """a AS (SELECT trip_id, day FROM service_days WHERE day < 9), b AS (SELECT trip_id, day FROM service_days WHERE (trip_id + day) % 2 = 0 AND day > 3)
