@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF_DIR = "/root/testdata/sf0.001"
-NAMES = "calendar_exceptions interpolate_stop_times local_to_utc section_flag_rides td_edge_bwd direct_pairing earliest_arrival_rounds fare_leg_rules rt_overlay_events delay_as_of".split()
+NAMES = "calendar_exceptions interpolate_stop_times local_to_utc section_flag_rides td_edge_bwd direct_pairing earliest_arrival_rounds fare_leg_rules rt_overlay_events delay_as_of rt_cursor rt_absolute rt_skip_track_cancel rt_added bike_rounds wheelchair_rounds trip_based_rounds assistance_split middle_leg_alternative start_is_destination".split()
 
 
 def plain(value):

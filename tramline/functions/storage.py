@@ -27,3 +27,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; counts no further than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def file_system(spark: SparkSession, path: str):
+    """The path and its file system, whether that is local or remote."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(path: str) -> bool:
+    """Whether a file or folder is there. A file system that can't be reached is an error."""
+    target, fs = file_system(SparkSession.active(), path)
+    return bool(fs.exists(target))
+
+
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    target, fs = file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(target) if s.isDirectory())
+
+
+def files_below(path: str) -> list[str]:
+    """All files of a folder and those in it; none where there is no such folder."""
+    target, fs = file_system(SparkSession.active(), path)
+    out, found = [], fs.listFiles(target, True) if fs.exists(target) else None
+    while found is not None and found.hasNext():
+        out.append(found.next().getPath().toString())
+    return out
+
+
+def sorted_index(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df in ranges of its keys, sorted in each: readers of one key touch one file, and files are in the order of the keys."""
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)

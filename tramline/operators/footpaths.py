@@ -72,3 +72,15 @@ def expand_groups(elements: DataFrame, locations: DataFrame) -> DataFrame:
     one = own.join(child, "location_id").select("group_id", F.col("child").alias("location_id"))
     two = one.join(child, "location_id").select("group_id", F.col("child").alias("location_id"))
     return own.unionByName(one).unionByName(two).distinct()
+
+
+def by_duration(footpaths: DataFrame) -> DataFrame:
+    """footpaths with nth: the place of each among those from its stop, the shortest first."""
+    from pyspark.sql import Window
+
+    return footpaths.withColumn("nth", F.row_number().over(Window.partitionBy("from_id").orderBy("minutes", "to_id")).cast("long"))
+
+
+def persisted(footpaths: DataFrame, path: str) -> None:
+    """Written by stop and sorted by duration, so that a stop's walks lie together in the order in which they are tried."""
+    footpaths.repartition("from_id").sortWithinPartitions("from_id", "minutes", "to_id").write.mode("overwrite").parquet(path)

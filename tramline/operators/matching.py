@@ -107,3 +107,10 @@ def reference_trip(parts: DataFrame) -> DataFrame:
 def concrete_or_any(rule: Column, value: Column, concrete: Column) -> Column:
     """A rule's key matches its own value; an empty one matches what no rule names (concrete tells whether one does)."""
     return F.when(rule.isNotNull(), rule == value).otherwise(value.isNull() | ~F.coalesce(concrete, F.lit(False)))
+
+
+def timed_offsets(legs: DataFrame, steps: DataFrame) -> DataFrame:
+    """legs (leg_id, location_id, time, minutes) with the time-dependent offset (location_id, valid_from, duration) that is valid when the leg begins,
+    where there is one, instead of their minutes."""
+    known = steps.select("location_id", F.col("valid_from").alias("time"), "duration")
+    return as_of(legs, known, ["location_id"], "time", ["duration"]).select("leg_id", "location_id", "time", F.coalesce("duration", "minutes").alias("minutes"))

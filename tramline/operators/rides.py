@@ -75,3 +75,17 @@ def transfers(stop_events: DataFrame, locations: DataFrame, footpaths: DataFrame
         pairs = pairs.where("not (before <=> after)")
     first = pairs.groupBy("from_trip", "from_seq", "to_id", "to_route").agg(F.min(F.struct("dep", "to_trip", "to_seq", "ready")).alias("x"))
     return first.groupBy("from_trip", "from_seq", "x.to_trip", "x.to_seq").agg(F.min(F.col("x.dep") - F.col("x.ready")).alias("wait"))
+
+
+def earliest_between(asked: DataFrame, stop_events: DataFrame, footpaths: DataFrame) -> DataFrame:
+    """(query_id, trip_id, board_seq, alight_seq, dep, arr): for each of asked (query_id, from_id, to_id, ready, latest) the ride that is at to_id
+    earliest, and by latest: over a footpath or none at each end. Such a ride may take the place of the middle leg of three."""
+    walk = footpaths.select("from_id", "to_id", "minutes")
+    ahead = asked.select("query_id", F.col("from_id").alias("board_id"), "ready", "latest").unionByName(asked.join(walk.withColumnRenamed("to_id", "board_id"), "from_id").select("query_id", "board_id", (F.col("ready") + F.col("minutes")).alias("ready"), "latest"))
+    behind = asked.select("query_id", F.col("to_id").alias("alight_id"), F.lit(0).cast("long").alias("more"), "latest").unionByName(asked.join(walk.withColumnRenamed("from_id", "alight_id"), "to_id").select("query_id", "alight_id", F.col("minutes").cast("long").alias("more"), "latest"))
+    on = stop_events.where("in_allowed").select("trip_id", F.col("stop_seq").alias("board_seq"), F.col("location_id").alias("board_id"), "dep")
+    boarded = ahead.join(on, "board_id").where("dep >= ready and dep <= latest").groupBy("query_id", "trip_id").agg(F.min("board_seq").alias("first"))
+    off = stop_events.where("out_allowed").select("trip_id", F.col("stop_seq").alias("alight_seq"), F.col("location_id").alias("alight_id"), "arr")
+    there = behind.join(off, "alight_id").join(boarded, ["query_id", "trip_id"]).where("alight_seq > first and arr + more <= latest")
+    one = there.groupBy("query_id").agg(F.min(F.struct((F.col("arr") + F.col("more")).alias("arr"), "trip_id", F.col("first").alias("board_seq"), "alight_seq")).alias("x")).select("query_id", "x.*")
+    return one.join(stop_events.select("trip_id", F.col("stop_seq").alias("board_seq"), "dep"), ["trip_id", "board_seq"]).select("query_id", "trip_id", "board_seq", "alight_seq", "dep", "arr")

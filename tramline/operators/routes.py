@@ -74,13 +74,30 @@ def importance(stop_events: DataFrame, service_days: DataFrame, locations: DataF
     return calls.join(locations.select("location_id", F.coalesce("parent_id", "location_id").alias("root")), "location_id").groupBy(F.col("root").alias("location_id")).agg(F.sum("x").cast("long").alias("importance"))
 
 
-def roots(locations: DataFrame, hops: int = 3) -> DataFrame:
-    """(location_id, root_id): the top of the parents' chain, at most so many steps up. A cycle ends at the last step."""
-    out = locations.select("location_id", F.coalesce("parent_id", "location_id").alias("root_id"))
-    up = locations.where("parent_id is not null").select(F.col("location_id").alias("root_id"), F.col("parent_id").alias("above"))
-    for _ in range(hops - 1):
-        out = out.join(up, "root_id", "left").select("location_id", F.coalesce("above", "root_id").alias("root_id"))
-    return out
+def roots(locations: DataFrame, hops: int = 21) -> DataFrame:
+    """(location_id, root_id): the top of the parents' chain. On a cycle, or where the top is more than hops steps up, the parent itself.
+
+    Each round doubles the steps that are taken, so 21 steps are five joins.
+    """
+    parent = locations.where("parent_id is not null").select("location_id", "parent_id")
+    up = parent.select("location_id", F.col("parent_id").alias("root_id"), F.lit(1).alias("steps"))
+    taken = 1
+    while taken <= hops:
+        above = up.select(F.col("location_id").alias("root_id"), F.col("root_id").alias("above"), F.col("steps").alias("more"))
+        up = up.join(above, "root_id", "left").select("location_id", F.coalesce("above", "root_id").alias("root_id"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+        taken *= 2
+    done = up.join(parent.select(F.col("location_id").alias("root_id"), F.lit(True).alias("on")), "root_id", "left")
+    top = done.select("location_id", F.when(F.col("on").isNull() & (F.col("steps") <= hops), F.col("root_id")).alias("root_id"))
+    return locations.select("location_id", "parent_id").join(top, "location_id", "left").select("location_id", F.coalesce("root_id", "parent_id", "location_id").alias("root_id"))
+
+
+def merged_days(service_days: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(trip_id, day, disabled) for the dropped trips of duplicates(): the days that are left to them, and whether none is; a trip
+    without any has one row with day null."""
+    days = service_days.join(pairs.select(F.col("dropped").alias("trip_id")).distinct(), "trip_id", "left_semi").select("trip_id", "day")
+    left = days.join(pairs.select(F.col("dropped").alias("trip_id"), "day").distinct(), ["trip_id", "day"], "left_anti")
+    trips = days.select("trip_id").distinct()
+    return trips.join(left, "trip_id", "left").select("trip_id", "day", F.col("day").isNull().alias("disabled"))
 
 
 def duplicates(stop_events: DataFrame, service_days: DataFrame, equivalent: DataFrame) -> DataFrame:

@@ -76,3 +76,15 @@ def windowed(legs: DataFrame, partition: str, order: str, columns: list[str], n:
     cells = [F.lead(c, k).over(w).alias(f"{c}_{k}") for k in range(n) for c in columns]
     whole = F.count(F.lit(1)).over(w.rowsBetween(0, n - 1)).alias("__n")
     return legs.select(partition, order, whole, *cells).where(F.col("__n") == n).drop("__n")
+
+
+def numbering(rows: DataFrame, seq: str = "gtfs_seq") -> DataFrame:
+    """(trip_id, kind, numbers): how the sequence numbers of a trip are kept: none where they count from 0, their first where they count in ones
+    or tens from 1 or 10 on, else all of them."""
+    w = Window.partitionBy("trip_id").orderBy(seq)
+    own = rows.select("trip_id", F.col(seq).cast("long").alias("s"), (F.row_number().over(w) - 1).alias("i"))
+    fits = lambda first, step: F.bool_and(F.col("s") == first + step * F.col("i"))
+    kind = F.when(fits(0, 1), "zero").when(fits(1, 1), "one").when(fits(10, 10), "ten").otherwise("exact")
+    out = own.groupBy("trip_id").agg(kind.alias("kind"), F.array_sort(F.collect_list("s")).alias("all"))
+    empty = F.array().cast("array<bigint>")
+    return out.select("trip_id", "kind", F.when(F.col("kind") == "zero", empty).when(F.col("kind") == "exact", F.col("all")).otherwise(F.slice("all", 1, 1)).alias("numbers"))

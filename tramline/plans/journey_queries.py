@@ -13,13 +13,13 @@ from tramline.plans.registry import query
 START, BEGIN, TARGET = 1, 480, 7
 
 
-def _rounds_sql(most: int, starts: str = f"SELECT 0::BIGINT AS q, {START}::BIGINT AS l, {BEGIN}::BIGINT AS t", events: str = "events_on", where: str = "true") -> str:
+def _rounds_sql(most: int, starts: str = f"SELECT 0::BIGINT AS q, {START}::BIGINT AS l, {BEGIN}::BIGINT AS t", events: str = "events_on", where: str = "true", part: str = "") -> str:
     """Common tables arr_1 .. arr_most (q, l, t): the best arrival with at most so many rides. No label of an earlier round is left out, as none makes a minimum worse."""
-    parts = [f"ev AS MATERIALIZED (SELECT trip_id, stop_seq, location_id, arr, dep, in_allowed, out_allowed FROM {events} WHERE {where})", f"go_0 AS ({starts})", "best_0 AS (SELECT q, l, min(t) AS t FROM go_0 GROUP BY 1, 2)"]
+    parts = [f"ev AS MATERIALIZED (SELECT trip_id, stop_seq, location_id, arr, dep, in_allowed, out_allowed{part and f', {part}'} FROM {events} WHERE {where})", f"go_0 AS ({starts})", "best_0 AS (SELECT q, l, min(t) AS t FROM go_0 GROUP BY 1, 2)"]
     for k in range(1, most + 1):
         parts += [
-            f"in_{k} AS (SELECT q, trip_id, min(stop_seq) AS s FROM go_{k - 1} JOIN ev ON location_id = l AND dep >= t AND dep - t <= 1440 WHERE in_allowed GROUP BY 1, 2)",
-            f"off_{k} AS MATERIALIZED (SELECT e.q, e.l, e.t FROM (SELECT q, location_id AS l, min(arr) AS t FROM in_{k} JOIN ev USING (trip_id) WHERE stop_seq > s AND out_allowed GROUP BY 1, 2) e LEFT JOIN best_{k - 1} z ON z.q = e.q AND z.l = e.l WHERE z.t IS NULL OR e.t < z.t)",
+            f"in_{k} AS (SELECT q, trip_id, {part or 0} AS part, min(stop_seq) AS s FROM go_{k - 1} JOIN ev ON location_id = l AND dep >= t AND dep - t <= 1440 WHERE in_allowed GROUP BY 1, 2, 3)",
+            f"off_{k} AS MATERIALIZED (SELECT e.q, e.l, e.t FROM (SELECT q, location_id AS l, min(arr) AS t FROM in_{k} JOIN ev USING (trip_id) WHERE stop_seq > s AND out_allowed AND part = {part or 0} GROUP BY 1, 2) e LEFT JOIN best_{k - 1} z ON z.q = e.q AND z.l = e.l WHERE z.t IS NULL OR e.t < z.t)",
             f"foot_{k} AS (SELECT e.q, e.l, e.t FROM (SELECT q, to_id AS l, min(t + minutes) AS t FROM off_{k} JOIN footpaths ON from_id = l GROUP BY 1, 2) e LEFT JOIN best_0 z ON z.q = e.q AND z.l = e.l WHERE z.t IS NULL OR e.t < z.t)",
             f"go_{k} AS MATERIALIZED (SELECT q, l, min(t)::BIGINT AS t FROM (SELECT q, l, t + transfer_min AS t FROM off_{k} JOIN locations ON location_id = l UNION ALL SELECT * FROM foot_{k} UNION ALL SELECT * FROM go_{k - 1}) GROUP BY 1, 2)",
             f"arr_{k} AS MATERIALIZED (SELECT q, l, min(t)::BIGINT AS t FROM (SELECT * FROM off_{k} UNION ALL SELECT * FROM foot_{k}{f' UNION ALL SELECT * FROM arr_{k - 1}' if k > 1 else ''}) GROUP BY 1, 2)",
@@ -163,8 +163,14 @@ def qa_rating(d: Derived) -> DataFrame:
     return measures.ratings(rows, rows.where("transfers = 0"))
 
 
-@query("locations events_on footpaths", _rounds_sql(1) + ", x AS (SELECT 1 AS start, 1 AS dest) SELECT l AS location_id, t AS arr FROM arr_1 WHERE (SELECT start FROM x) <> l")
+@query(_TABLES, _rounds_sql(1, "SELECT 10 * a AS q, a::BIGINT AS l, 480::BIGINT AS t FROM (SELECT unnest([1, 2, 3]) AS a)") + """, ask AS (SELECT 10 * a AS q, a, b FROM (SELECT unnest([1, 2, 3]) AS a, unnest([4, 2, 7]) AS b)), tree AS (SELECT location_id, coalesce(parent_id, location_id) AS root FROM locations)
+    SELECT ask.q::BIGINT AS query_id, t AS arr FROM ask JOIN arr_1 ON arr_1.q = ask.q AND l = b JOIN tree x ON x.location_id = a JOIN tree y ON y.location_id = b WHERE x.root <> y.root""")
 def start_is_destination(d: Derived) -> DataFrame:
-    """A query whose start is its destination has no result."""
-    found = journeys.one_to_all(journeys.rounds(_search(d), _start(d), 1)).select("location_id", "arr")
-    return found.join(d.locations.where(f"location_id = {START}"), "location_id", "left_anti")
+    """Queries from one stop to another: those whose stops belong to one station have no result."""
+    from tramline.operators.requests import overlapping
+
+    one = lambda at: d.spark.createDataFrame([(at,)], "location_id long")
+    asked = [(10 * a, a, b) for a, b in ((1, 4), (2, 2), (3, 7)) if not overlapping(one(a), one(b), d.locations)]
+    starts = d.spark.createDataFrame([(q, a, BEGIN) for q, a, _ in asked], "query_id long, location_id long, time long")
+    ends = d.spark.createDataFrame([(q, b) for q, _, b in asked], "query_id long, location_id long")
+    return journeys.one_to_all(journeys.rounds(_search(d), starts, 1)).join(ends, ["query_id", "location_id"]).select("query_id", "arr")

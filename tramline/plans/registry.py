@@ -28,7 +28,7 @@ def query(tables: str = "", body: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from tramline.plans import etl, fare_queries, journey_queries, lookups, realtime_queries, scalars  # noqa: F401
+    from tramline.plans import etl, fare_queries, journey_queries, lookups, realtime_queries, request_queries, scalars  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

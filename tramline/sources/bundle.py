@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tramline.functions.storage import folders_in
+
 
 def write(tables: dict[str, DataFrame], path: str) -> None:
     """Overwrites the bundle's tables; stop events with a service_day are partitioned by it, so that a query reads its days alone."""
@@ -18,8 +18,8 @@ def write(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """All tables of a local bundle."""
-    return {p.name: spark.read.parquet(str(p)) for p in sorted(Path(path.removeprefix("file://")).iterdir()) if p.is_dir()}
+    """All tables of a bundle, on whatever file system; an error where there is no such folder."""
+    return {n: spark.read.parquet(f"{path}/{n}") for n in folders_in(spark, path)}
 
 
 def clock(minutes: Column) -> Column:

@@ -6,11 +6,11 @@ file is read whole; files are the unit of distribution.
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tramline.functions.storage import exists
+
 #: Folder and names of the master files, of two dialects.
 DIALECTS = (
     {"folder": "stamm", "services": "fahrten", "stations": "bahnhof.101", "coordinates": "dbkoord_geo.101", "bitfields": "bitfeld.101", "categories": "zugart_int.101", "providers": "unternehmen_ris.101", "tracks": "gleise.101", "basic": "eckdaten.101", "timezones": "zeitvs.101", "footpaths": "metabhf.101", "attributes": "attributd_int_int.101", "directions": "richtung.101"},
@@ -18,9 +18,13 @@ DIALECTS = (
 )
 
 
+def _in(*parts: str) -> str:
+    return "/".join(p for p in parts if p)
+
+
 def dialect_of(path: str) -> dict[str, str] | None:
     for d in DIALECTS:
-        if Path(path, d["folder"], d["stations"]).exists() and Path(path, d["folder"], d["bitfields"]).exists():
+        if exists(_in(path, d["folder"], d["stations"])) and exists(_in(path, d["folder"], d["bitfields"])):
             return d
     return None
 
@@ -136,11 +140,11 @@ def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     d = dialect_of(path)
     if d is None:
         raise ValueError(f"no master data known in {path}")
-    of = lambda name: lines(spark, str(Path(path, d["folder"], d[name])))
-    exists = lambda name: Path(path, d["folder"], d[name]).exists()
+    of = lambda name: lines(spark, _in(path, d["folder"], d[name]))
+    there = lambda name: exists(_in(path, d["folder"], d[name]))
     period = basic_info(of("basic"))
     days = bitfields(of("bitfields"), period)
-    head, stop, ranges = services(lines(spark, str(Path(path, d["services"]))))
+    head, stop, ranges = services(lines(spark, _in(path, d["services"])))
     events, service_days = expand(head, stop, ranges, days)
     readers = {"coordinates": coordinates, "categories": categories, "providers": providers, "attributes": attributes, "directions": directions, "tracks": tracks, "footpaths": footpaths, "timezones": timezones}
-    return {"stops": stations(of("stations")), "stop_events": events, "service_days": service_days, "ranges": ranges, "services": head, "period": period} | {n: f(of(n)) for n, f in readers.items() if exists(n)}
+    return {"stops": stations(of("stations")), "stop_events": events, "service_days": service_days, "ranges": ranges, "services": head, "period": period} | {n: f(of(n)) for n, f in readers.items() if there(n)}

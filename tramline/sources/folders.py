@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tramline.functions.storage import folder
+from tramline.functions.storage import exists, files_below, folder
 
 
 def from_text(text: str, target: str) -> str:
@@ -31,7 +31,10 @@ def unpacked(spark: SparkSession, path: str) -> str:
     """path itself if it is a folder; a zip's files, and those of zips in it, in a folder of spark.checkpoint.dir that all executors reach."""
     if not path.endswith(".zip"):
         return path
-    target = Path(folder(spark).removeprefix("file://"), "feed-" + Path(path).stem)
+    root = folder(spark)
+    if "://" in root and not root.startswith("file://"):
+        raise ValueError(f"zips are unpacked in local folders alone, not in {root}: unpack {path} first")
+    target = Path(root.removeprefix("file://"), "feed-" + Path(path).stem)
     _extract(zipfile.ZipFile(path), target)
     return str(target)
 
@@ -56,7 +59,7 @@ def gunzip(data: bytes) -> bytes:
 
 
 def has(path: str, *names: str) -> bool:
-    return all(Path(path, n).exists() for n in names)
+    return all(exists(f"{path}/{n}") for n in names)
 
 
 def kind_of(path: str) -> str:
@@ -67,7 +70,7 @@ def kind_of(path: str) -> str:
         return "gtfs"
     if fixed_width.applicable(path):
         return "hrd"
-    if any(Path(path).rglob("*.xml")) or any(Path(path).rglob("*.xml.gz")):
+    if any(n.endswith((".xml", ".xml.gz")) for n in files_below(path)):
         return "netex"
     raise ValueError(f"no timetable format known in {path}")
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tramline.functions.storage import exists
 from tramline.functions import classes, colors, times
 
 #: Columns of each file; those that a feed lacks are null.
@@ -46,15 +46,15 @@ FILES: dict[str, str] = {
 
 def applicable(path: str) -> bool:
     """Whether the files that every feed must have are there."""
-    there = lambda n: Path(path, f"{n}.txt").exists()
+    there = lambda n: exists(f"{path}/{n}.txt")
     return all(map(there, ("agency", "stops", "routes", "trips", "stop_times"))) and (there("calendar") or there("calendar_dates"))
 
 
 def raw(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A file's known columns as trimmed text, blank as null, and position in the file (file order for 'the last one counts')."""
     columns = FILES[name].split()
-    file = Path(path, f"{name}.txt")
-    if not file.exists():
+    file = f"{path}/{name}.txt"
+    if not exists(file):
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in columns) + ", position long")
     own = spark.read.option("header", True).option("multiLine", False).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(str(file))
     found = {c.strip().lstrip("﻿").strip('"'): c for c in own.columns}
@@ -162,13 +162,13 @@ def translated(names: DataFrame, translations: DataFrame, table: str, field: str
 
 def areas(spark: SparkSession, path: str) -> DataFrame:
     """(area_id, name, ring, holes) of the polygons in locations.geojson."""
-    file = Path(path, "locations.geojson")
-    if not file.exists():
+    file = f"{path}/locations.geojson"
+    if not exists(file):
         return spark.createDataFrame([], "area_id string, name string, ring array<struct<x:double,y:double>>, holes array<array<struct<x:double,y:double>>>")
     schema = "features array<struct<id:string,properties:struct<stop_name:string,stop_desc:string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
     own = spark.read.schema(schema).option("multiLine", True).json(str(file)).select(F.explode("features").alias("f")).where("f.geometry.type = 'Polygon'")
     rings = F.transform("f.geometry.coordinates", lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
-    return own.select(F.col("f.id").alias("area_id"), F.col("f.properties.stop_name").alias("name"), rings[0].alias("ring"), F.slice(rings, 2, 1000).alias("holes"))
+    return own.select(F.col("f.id").alias("area_id"), F.col("f.properties.stop_name").alias("name"), rings[0].alias("ring"), F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))).alias("holes"))
 
 
 def deep_links(spark: SparkSession, path: str, known_routes: DataFrame, known_agencies: DataFrame) -> DataFrame:
@@ -178,7 +178,9 @@ def deep_links(spark: SparkSession, path: str, known_routes: DataFrame, known_ag
 
 
 def read(spark: SparkSession, path: str, first: str = "2024-01-01", last: str = "2024-12-31", default_tz: str = "UTC", extend: bool = False) -> dict[str, DataFrame]:
-    """All tables of a feed, with the days of its services in [first, last]."""
+    """All tables of a feed, with the days of its services in [first, last]. A folder without the files of a feed is an error."""
+    if not applicable(path):
+        raise FileNotFoundError(f"no feed in {path}")
     own_stops, own_routes, days = stops(spark, path), routes(spark, path), service_days(spark, path, first, last, extend)
     own_trips, own_agencies = trips(spark, path, own_routes, days), agencies(spark, path, default_tz)
     same, walks, seated = transfers(spark, path)
