@@ -73,3 +73,35 @@ def test_many_copies(docs):
     own = " ".join(words(50, 9))
     got = minhash.near_duplicates(docs([(i, own) for i in range(500)])).collect()
     assert {r.doc_id for r in got} == set(range(1, 500)) and {r.duplicate_of for r in got} == {0}
+
+
+def test_links_are_those_of_all_pairs_that_share_a_band(docs):
+    """Groups of copies of a few texts that share a passage, and strangers with it, so that buckets have members of many kinds."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tramline.llm.textnum import Words
+
+    common, rows = words(40, 77), []
+    for g in range(5):
+        base = [*words(30, 100 + g), *common]
+        rows += [(100 * g + i, " ".join(changed(base, 0.01 * i, 10 * g + i))) for i in range(12)]
+    rows += [(1000 + i, " ".join([*words(25, 500 + i), *common])) for i in range(30)]
+    _, sig = minhash.minima(Words(pa.array([t for _, t in rows])), minhash.PERMUTATIONS, minhash.SHINGLE)
+    size = minhash.PERMUTATIONS // minhash.BANDS
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            same = sig[i] == sig[j]
+            if same.mean() >= minhash.THRESHOLD and same.reshape(-1, size).all(axis=1).any():
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    ids = np.array([d for d, _ in rows])
+    want = {int(ids[i]): int(ids[root(i)]) for i in range(len(rows)) if root(i) != i}
+    assert {r.doc_id: r.duplicate_of for r in minhash.near_duplicates(docs(rows)).collect()} == want and 20 < len(want) < len(rows) - 5

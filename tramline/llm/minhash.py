@@ -2,7 +2,8 @@
 
 Every document is a query: all that share a band are candidates, however many there are. A band's bucket first
 verifies all its members against its least one; members that fail are then verified against every other member,
-so what is linked is exactly what all pairs of the bucket would link, without pairing up large groups of copies.
+so what is linked is exactly what all pairs of the bucket would link, without pairing up large groups of copies. Members whose distances to
+the least one differ by more than copies can are no pair (the triangle inequality), so strangers aren't compared with close copies of it.
 
 Defined results. Texts without a word are never linked. Texts of fewer words than a shingle count as one shingle. Long texts are
 read whole, in batches of their own. Rows without doc_id are left out. Repeated rows of one doc_id are one document. Ties don't arise:
@@ -71,16 +72,17 @@ def signatures(docs: DataFrame, permutations: int = PERMUTATIONS, shingle: int =
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame, permutations: int, threshold: float) -> DataFrame:
-    """pairs (a, b) with ok: whether the signatures agree in at least that share of their places."""
-    least = int(np.ceil(threshold * permutations))
+    """pairs (a, b) with apart, the number of places in which the signatures differ, and ok: whether they agree in at least that share."""
+    most = permutations - int(np.ceil(threshold * permutations))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, permutations) for c in ("sa", "sb"))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x == y).sum(axis=1) >= least)], ["a", "b", "ok"])
+            apart = (x != y).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart.astype(np.int32)), pa.array(apart <= most)], ["a", "b", "apart", "ok"])
 
     left, right = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, ok boolean")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, apart int, ok boolean")
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -126,9 +128,16 @@ def near_duplicates(docs: DataFrame, permutations: int = PERMUTATIONS, bands: in
     members = store(members.join(least, "bucket").distinct(), "members")
     pairs = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     first = store(_agreeing(pairs, reps, permutations, threshold), "verified")
-    failed = members.join(first.where("not ok").select(F.col("a").alias("leader"), F.col("b").alias("doc_id")), ["leader", "doc_id"])
-    other = members.where("doc_id <> leader").select("bucket", F.col("doc_id").alias("other"))
-    rest = failed.join(other, "bucket").where("doc_id <> other").select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    # The number of places in which signatures differ is a metric: of two documents that are d and e apart from the leader, |d - e| or more
+    # places differ. So only members whose distances are near enough are compared; they meet by cells of half that width.
+    most = permutations - int(np.ceil(threshold * permutations))
+    wide = max(1, most // 2)
+    placed = members.join(first.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), "apart", "ok"), ["leader", "doc_id"])
+    near = F.sequence(F.floor((F.col("apart") - most) / wide), F.floor((F.col("apart") + most) / wide))
+    failed = placed.where("not ok").select("bucket", "doc_id", "apart", F.explode(near).alias("cell"))
+    other = placed.select("bucket", F.col("doc_id").alias("other"), F.col("apart").alias("also"), F.floor(F.col("apart") / wide).alias("cell"))
+    met = failed.join(other, ["bucket", "cell"]).where(f"doc_id <> other and abs(apart - also) <= {most}")
+    rest = met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
     second = _agreeing(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), reps, permutations, threshold)
     labels = components(first.where("ok").select("a", "b").unionByName(second.where("ok").select("a", "b")))
     to_rep = sigs.select("doc_id", "k1", "k2").join(reps.select("k1", "k2", F.col("doc_id").alias("rep")), ["k1", "k2"]).select("doc_id", "rep")
