@@ -41,8 +41,20 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Bytes of rows that go to a Python worker at once, where the session doesn't say otherwise. Batches are held on both sides, JVM and
+#: Python, by each task, and the operators cut them to a megabyte or a few anyway; Spark's own bound is 64 MB.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH).rstrip("b") == str(64 << 20):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def texts(df: DataFrame, *more: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key as a long and the text (null as empty), whatever other columns df has."""
+    _small_batches(df.sparkSession)
     return df.select(column(key).cast("long").alias(key), F.coalesce(column(text).cast("string"), F.lit("")).alias(text), *more)
 
 
@@ -58,6 +70,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 def rewritten(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """df's columns by their names and types after run, which sees and gives columns named by place as in plain()."""
+    _small_batches(df.sparkSession)
     schema = StructType([StructField(f"c{i}", f.dataType, True) for i, f in enumerate(df.schema.fields)])
     return plain(df).mapInArrow(returning(run), schema).toDF(*df.columns)
 
