@@ -24,3 +24,11 @@ def test_fare_rules_are_found_once_for_equal_legs(spark):
     assert {(r.leg_id, r.rule_id) for r in rows} == expected and len(rows) == len(expected) and n < 4000
     rows, n = moved(spark, fares.ranked(legs, rules, products, priorities=True))
     assert {(r.leg_id, r.rule_id, r.nth) for r in rows} == {(leg, rule, (201 - rule) // 2) for leg, rule in expected} and n < 4000
+
+
+def test_empty_keys_of_rules_and_legs(spark):
+    keys = "network_id long, from_area long, to_area long, from_timeframe long, to_timeframe long"
+    legs = spark.createDataFrame([(i, None if i % 2 else 1, 5, None, 1, None) for i in range(200)], f"leg_id long, {keys}")
+    rules = spark.createDataFrame([(i, None, 5, None, i % 2, None, 1) for i in range(100)] + [(500, 1, 5, None, None, None, 0)], f"rule_id long, {keys}, priority long")
+    rows, n = moved(spark, fares.leg_rules(legs, rules, priorities=True))
+    assert {(r.leg_id, r.rule_id) for r in rows} == {(leg, rule) for leg in range(200) for rule in range(1, 100, 2)} and n < 2000
