@@ -32,3 +32,11 @@ def test_empty_keys_of_rules_and_legs(spark):
     rules = spark.createDataFrame([(i, None, 5, None, i % 2, None, 1) for i in range(100)] + [(500, 1, 5, None, None, None, 0)], f"rule_id long, {keys}, priority long")
     rows, n = moved(spark, fares.leg_rules(legs, rules, priorities=True))
     assert {(r.leg_id, r.rule_id) for r in rows} == {(leg, rule) for leg in range(200) for rule in range(1, 100, 2)} and n < 2000
+
+
+def test_rules_without_priorities_leave_named_values_alone(spark):
+    keys = "network_id long, from_area long, to_area long, from_timeframe long, to_timeframe long"
+    legs = spark.createDataFrame([(i, i % 2, 5, 6, 1, None) for i in range(200)], f"leg_id long, {keys}")
+    rules = spark.createDataFrame([(i, None, 5, None, None, None, 0) for i in range(100)] + [(500, 1, 5, None, None, None, 0)], f"rule_id long, {keys}, priority long")
+    rows, n = moved(spark, fares.leg_rules(legs, rules))
+    assert {(r.leg_id, r.rule_id) for r in rows} == {(leg, rule) for leg in range(0, 200, 2) for rule in range(100)} | {(leg, 500) for leg in range(1, 200, 2)} and n < 2000
