@@ -1,8 +1,12 @@
 """What is moved between tasks grows with the input, not with the pairs that come out."""
 
+import random
+import time
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
-from tramline.operators import fares
+from tramline.operators import calendar, fares, footpaths, matching, requests, routes
 
 
 def moved(spark, df):
@@ -14,6 +18,17 @@ def moved(spark, df):
     return rows, sum(s.shuffleWriteRecords() for s in listed() if (s.stageId(), s.attemptId()) not in before)
 
 
+@contextmanager
+def nothing_sent(spark):
+    """Tables aren't sent to all tasks because they are small in a test."""
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, -1)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_fare_rules_are_found_once_for_equal_legs(spark):
     keys = "network_id long, from_area long, to_area long, from_timeframe long, to_timeframe long"
     legs = spark.createDataFrame([(i, 1, 2, 3, None, None) for i in range(200)], f"leg_id long, {keys}")
@@ -40,3 +55,41 @@ def test_rules_without_priorities_leave_named_values_alone(spark):
     rules = spark.createDataFrame([(i, None, 5, None, None, None, 0) for i in range(100)] + [(500, 1, 5, None, None, None, 0)], f"rule_id long, {keys}, priority long")
     rows, n = moved(spark, fares.leg_rules(legs, rules))
     assert {(r.leg_id, r.rule_id) for r in rows} == {(leg, rule) for leg in range(0, 200, 2) for rule in range(100)} | {(leg, 500) for leg in range(1, 200, 2)} and n < 2000
+
+
+def stops(spark, n):
+    """n stops at three places, of which the third is far, with two names."""
+    rows = [(i, None, 48.0 + (i % 3) * (i % 3) * 0.001, 8.0, 2 + i % 2, i % 2, f"S{i % 2}") for i in range(n)]
+    return spark.createDataFrame(rows, "location_id long, parent_id long, lat double, lng double, transfer_min long, src long, name string")
+
+
+def test_long_chain_and_many_sub_routes(spark):
+    """Each trip is set against the last of each chain only; all trips of a chain would be 30 million comparisons of tuples here."""
+    rows = [(i, s, i // 6 + 10 * s, i // 6 + 10 * s) for i in range(8000) for s in (0, 1)]
+    own = spark.createDataFrame(rows, "trip_id long, stop_seq long, arr long, dep long")
+    keys = own.select("trip_id").distinct().withColumn("route_key", F.lit("k"))
+    began = time.monotonic()
+    assert routes.without_overtaking(own, keys).count() == 8000
+    assert time.monotonic() - began < 15
+
+
+def test_sub_routes_equal_those_of_all_comparisons(spark):
+    r = random.Random(4)
+    trips = {}
+    for i in range(300):
+        at, times = r.randrange(0, 3000, 7), []
+        for _ in range(3):
+            times.append((at, at + r.randrange(2)))
+            at = times[-1][1] + r.randrange(1, 12)
+        trips[i] = times
+    lanes, expected = [], {}
+    for i, times in sorted(trips.items(), key=lambda x: (x[1][0][1], x[0])):
+        own = [t - times[0][1] // 1440 * 1440 for pair in times for t in pair]
+        fits = [k for k, lane in enumerate(lanes) if all(all(a <= b for a, b in zip(x, own)) or all(a >= b for a, b in zip(x, own)) for x in lane)]
+        if not fits:
+            lanes.append([])
+        expected[i] = fits[0] if fits else len(lanes) - 1
+        lanes[expected[i]].append(own)
+    own = spark.createDataFrame([(i, s, a, d) for i, times in trips.items() for s, (a, d) in enumerate(times)], "trip_id long, stop_seq long, arr long, dep long")
+    keys = own.select("trip_id").distinct().withColumn("route_key", F.lit("k"))
+    assert {x.trip_id: x.sub_route for x in routes.without_overtaking(own, keys).collect()} == expected
