@@ -93,3 +93,8 @@ def test_sub_routes_equal_those_of_all_comparisons(spark):
     own = spark.createDataFrame([(i, s, a, d) for i, times in trips.items() for s, (a, d) in enumerate(times)], "trip_id long, stop_seq long, arr long, dep long")
     keys = own.select("trip_id").distinct().withColumn("route_key", F.lit("k"))
     assert {x.trip_id: x.sub_route for x in routes.without_overtaking(own, keys).collect()} == expected
+
+
+def test_least_hashes_are_aggregated_in_place(spark):
+    plan = requests.random_queries(stops(spark, 50), 20, 1, least_walk=0)._jdf.queryExecution().executedPlan().toString()
+    assert " HashAggregate(keys=[draw" in plan

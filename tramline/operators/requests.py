@@ -119,7 +119,8 @@ def random_queries(locations: DataFrame, n: int, seed: int = 0, least_walk: int
     """(query_id, from_id, to_id): n random pairs of locations (location_id, lat, lng) in a box (low and high lat, low and high lng), equal for equal
     seeds. Of each query's attempts the first counts that is no walk of least_walk minutes; a query without any has no row.
 
-    Each location is hashed with each attempt's number, and the least hash is drawn: one aggregation, no numbering of locations.
+    Each location is hashed with each attempt's number, and the least hash is drawn, without numbering the locations. The least hashes are plain
+    numbers, which are aggregated in place; only who has them is then looked at as a whole.
     """
     from tramline.functions.geo import haversine_m
 
@@ -127,8 +128,11 @@ def random_queries(locations: DataFrame, n: int, seed: int = 0, least_walk: int
     if box:
         own = own.where(F.col("lat").between(box[0], box[1]) & F.col("lng").between(box[2], box[3]))
     draws = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(n * attempts - 1))).alias("draw"))
-    pick = lambda salt: F.min(F.struct(F.xxhash64("location_id", "draw", F.lit(2 * seed + salt)).alias("h"), "location_id", "lat", "lng"))
-    pairs = draws.groupBy("draw").agg(pick(0).alias("a"), pick(1).alias("b"))
+    hashed = lambda salt: F.xxhash64("location_id", "draw", F.lit(2 * seed + salt))
+    least = draws.groupBy("draw").agg(F.min(hashed(0)).alias("__a"), F.min(hashed(1)).alias("__b"))
+    drawn = draws.join(F.broadcast(least), "draw").where((hashed(0) == F.col("__a")) | (hashed(1) == F.col("__b")))
+    pick = lambda salt: F.min(F.struct(hashed(salt).alias("h"), "location_id", "lat", "lng"))
+    pairs = drawn.groupBy("draw").agg(pick(0).alias("a"), pick(1).alias("b"))
     far = haversine_m(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng")) > least_walk * metres_a_minute
     query = F.floor(F.col("draw") / attempts)
     good = pairs.where(far & (F.col("a.location_id") != F.col("b.location_id"))).groupBy(query.alias("query_id")).agg(F.min(F.struct("draw", F.col("a.location_id").alias("from_id"), F.col("b.location_id").alias("to_id"))).alias("x"))
