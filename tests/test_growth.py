@@ -98,3 +98,14 @@ def test_sub_routes_equal_those_of_all_comparisons(spark):
 def test_least_hashes_are_aggregated_in_place(spark):
     plan = requests.random_queries(stops(spark, 50), 20, 1, least_walk=0)._jdf.queryExecution().executedPlan().toString()
     assert " HashAggregate(keys=[draw" in plan
+
+
+def test_days_of_a_trip_are_one_row(spark):
+    a = spark.range(100).select(F.col("id").alias("trip_id"), F.explode(F.sequence(F.lit(0), F.lit(13))).cast("long").alias("day"))
+    b = a.where("(trip_id + day) % 2 = 0").unionByName(a.where("trip_id < 3 and day = 0").select("trip_id", (F.col("day") + 50).alias("day")))
+    with nothing_sent(spark):
+        rows, n = moved(spark, calendar.combined(a.where("day < 9"), b, ("and", "andnot", "or")))
+    x, y = {(t, d) for t in range(100) for d in range(9)}, {(t, d) for t in range(100) for d in range(14) if (t + d) % 2 == 0} | {(t, 50) for t in range(3)}
+    for how, days in (("and", x & y), ("andnot", x - y), ("or", x | y)):
+        assert sorted((r.trip_id, r.day) for r in rows if r.how == how) == sorted(days)
+    assert n <= 300

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,15 @@ def combine(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     return a.distinct().join(b, a.columns, {"and": "left_semi", "andnot": "left_anti"}[how])
 
 
+def combined(a: DataFrame, b: DataFrame, hows: Sequence[str]) -> DataFrame:
+    """Several of combine() of (trip_id, day) at once, by how. A trip's days are one row of two arrays that are combined in it: one shuffle, of a row a trip."""
+    both = a.select("trip_id", F.col("day").alias("__a"), F.lit(None).cast(a.schema["day"].dataType).alias("__b")).unionByName(b.select("trip_id", F.lit(None).cast(a.schema["day"].dataType).alias("__a"), F.col("day").alias("__b")))
+    days = both.groupBy("trip_id").agg(F.collect_set("__a").alias("__a"), F.collect_set("__b").alias("__b"))
+    ways = {"and": F.array_intersect("__a", "__b"), "andnot": F.array_except("__a", "__b"), "or": F.array_union("__a", "__b")}
+    each = F.explode(F.array(*(F.struct(F.lit(how).alias("how"), ways[how].alias("days")) for how in hows))).alias("x")
+    return days.select("trip_id", each).select("x.how", "trip_id", F.explode("x.days").alias("day"))
+
+
 def shifted(days: DataFrame, by: Column) -> DataFrame:
     return days.withColumn("day", F.col("day") + by)
 

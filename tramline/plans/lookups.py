@@ -334,8 +334,7 @@ def route_intersection(d: Derived) -> DataFrame:
     SELECT 'and' AS how, trip_id, day::BIGINT AS day FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'andnot', trip_id, day FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'or', trip_id, day FROM (SELECT * FROM a UNION SELECT * FROM b)""")
 def day_set_algebra(d: Derived) -> DataFrame:
     a, b = d.service_days.where("day < 9"), d.service_days.where("(trip_id + day) % 2 = 0 and day > 3")
-    parts = [calendar.combine(a, b, how).select(F.lit(how).alias("how"), "trip_id", "day") for how in ("and", "andnot", "or")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return calendar.combined(a, b, ("and", "andnot", "or")).select("how", "trip_id", "day")
 
 
 @query("locations stop_times", "SELECT trip_id, min(lat) AS min_lat, max(lat) AS max_lat, min(lng) AS min_lng, max(lng) AS max_lng FROM stop_times JOIN locations USING (location_id) GROUP BY 1")
