@@ -109,3 +109,12 @@ def test_days_of_a_trip_are_one_row(spark):
     for how, days in (("and", x & y), ("andnot", x - y), ("or", x | y)):
         assert sorted((r.trip_id, r.day) for r in rows if r.how == how) == sorted(days)
     assert n <= 300
+
+
+def test_equal_names_are_no_pairs(spark):
+    own = stops(spark, 300).withColumn("parent_id", F.when(F.col("location_id") % 5 != 0, F.col("location_id") - F.col("location_id") % 5)).withColumn("name", F.when(F.col("location_id") < 290, F.concat(F.lit("S"), (F.col("location_id") % 10).cast("string"))))
+    pairs = own.select(F.col("location_id").alias("from_id"), "name").join(own.select(F.col("location_id").alias("to_id"), "name"), "name").where("from_id <> to_id")
+    expected = sorted(map(tuple, matching.expand_locations(own, own, "equivalent", pairs).collect()))
+    with nothing_sent(spark):
+        rows, n = moved(spark, matching.expand_classes(own, own, own.select("location_id", F.col("name").alias("class"))))
+    assert sorted(map(tuple, rows)) == expected and len(rows) > 40_000 and n < 10_000

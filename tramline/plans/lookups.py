@@ -90,9 +90,7 @@ _FAMILY = _EQUAL + """, w AS (SELECT location_id AS asked FROM locations), fam A
 
 
 def _family(d: Derived) -> DataFrame:
-    names = d.locations.select(F.col("location_id").alias("to_id"), "name")
-    equal = d.locations.select(F.col("location_id").alias("from_id"), "name").join(names, "name").where("from_id <> to_id").select("from_id", "to_id")
-    return matching.expand_locations(d.locations, d.locations, "equivalent", equal)
+    return matching.expand_classes(d.locations, d.locations, d.locations.select("location_id", F.col("name").alias("class")))
 
 
 @query("locations", _FAMILY + " SELECT asked, location_id FROM family")
