@@ -118,3 +118,10 @@ def test_equal_names_are_no_pairs(spark):
     with nothing_sent(spark):
         rows, n = moved(spark, matching.expand_classes(own, own, own.select("location_id", F.col("name").alias("class"))))
     assert sorted(map(tuple, rows)) == expected and len(rows) > 40_000 and n < 10_000
+
+
+def test_one_place_is_joined_once(spark):
+    """400 stops at three places: the distance is worked out for places, and identifiers are put in at the end."""
+    with nothing_sent(spark):
+        rows, n = moved(spark, footpaths.linked(stops(spark, 400), 300.0))
+    assert len(rows) == 2 * sum((i % 3 == 2) == (j % 3 == 2) for i in range(0, 400, 2) for j in range(1, 400, 2)) and n < 1000

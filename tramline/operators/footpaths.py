@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tramline.functions.geo import cell, haversine_m, walk_minutes
+from tramline.functions.storage import small
 from tramline.operators.graph import closure, components
 
+#: A table of stops of at most so many rows is sent to all tasks.
+SENT = 500_000
+
 
 def symmetric(footpaths: DataFrame) -> DataFrame:
     """Adds the reverse of each footpath (from_id, to_id, minutes) that has none."""
@@ -16,31 +22,57 @@ def symmetric(footpaths: DataFrame) -> DataFrame:
     return both.groupBy("from_id", "to_id").agg(F.min(F.struct("made", "minutes"))["minutes"].alias("minutes"))
 
 
-def within(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
+def within(a: DataFrame, b: DataFrame, metres: float, equal: Sequence[str] = (), where: str | Column | None = None, values: dict[str, Column] | None = None) -> DataFrame:
     """Pairs of a (location_id, lat, lng, ..) and b within that distance: columns a_*, b_* and metres.
 
-    An equi-join on grid cells of that size, b in its own cell and the eight around it; only then the distance is worked out.
+    An equi-join on grid cells of that size, b in its own cell and the eight around it; only then the distance is worked out. In the columns
+    of equal both are the same; where is a further condition, values are further columns, of a_* and b_* without the identifiers.
+    Stops that differ in location_id only are one row until the pairs are made, so all of this is done once for them. Without location_id no
+    identifiers are made.
     """
-    y, x = cell(F.col("lat"), F.col("lng"), metres)
-    left = a.select(*(F.col(c).alias(f"a_{c}") for c in a.columns), y.alias("__y"), x.alias("__x"))
+    y, x = cell(F.col("a_lat"), F.col("a_lng"), metres)
+    left = _alike(a, "a").select("*", *(F.col(f"a_{c}").alias(f"__{c}") for c in equal), y.alias("__y"), x.alias("__x"))
     around = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    right = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns), y.alias("__cy"), x.alias("__cx"), F.explode(around).alias("__d")).select("*", (F.col("__cy") + F.col("__d.i")).alias("__y"), (F.col("__cx") + F.col("__d.j")).alias("__x")).drop("__cy", "__cx", "__d")
-    pairs = left.join(right, ["__y", "__x"]).withColumn("metres", haversine_m(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")))
-    return pairs.where(F.col("metres") <= metres).drop("__y", "__x")
+    y, x = cell(F.col("b_lat"), F.col("b_lng"), metres)
+    right = _alike(b, "b").withColumn("__d", F.explode(around)).select("*", *(F.col(f"b_{c}").alias(f"__{c}") for c in equal), (y + F.col("__d.i")).alias("__y"), (x + F.col("__d.j")).alias("__x")).drop("__d")
+    if small(a, SENT):
+        # Few rows can give many pairs: they are made where b's rows lie, and these are spread.
+        left, right = F.broadcast(left), right.repartition(4 * a.sparkSession.sparkContext.defaultParallelism)
+    keys = [*(f"__{c}" for c in equal), "__y", "__x"]
+    pairs = right.join(left, keys).drop(*keys).withColumn("metres", haversine_m(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))).where(F.col("metres") <= metres)
+    pairs = pairs.where(where) if where is not None else pairs
+    pairs = pairs.withColumns(values) if values else pairs
+    for side in ("a", "b"):
+        if f"__{side}_ids" in pairs.columns:
+            pairs = pairs.withColumn(f"{side}_location_id", F.explode(f"__{side}_ids")).drop(f"__{side}_ids")
+    return pairs
+
+
+def _alike(stops: DataFrame, side: str) -> DataFrame:
+    own = stops.select(*(F.col(c).alias(f"{side}_{c}") for c in stops.columns))
+    if "location_id" not in stops.columns:
+        return own.distinct()
+    return own.groupBy(*(c for c in own.columns if c != f"{side}_location_id")).agg(F.collect_list(f"{side}_location_id").alias(f"__{side}_ids"))
 
 
 def linked(locations: DataFrame, metres: float = 300.0, equal_metres: float = 100.0) -> DataFrame:
     """(from_id, to_id, minutes, equivalent) between feeds: the longest of both transfer times and the walk."""
     own = locations.select("location_id", "lat", "lng", "transfer_min", "src").where("src is not null and not (abs(lat) < 2 and abs(lng) < 2)")
-    pairs = within(own, own, metres).where("a_src <> b_src")
-    return pairs.select(F.col("a_location_id").alias("from_id"), F.col("b_location_id").alias("to_id"), F.greatest("a_transfer_min", "b_transfer_min", walk_minutes(F.col("metres"))).alias("minutes"), (F.col("metres") < equal_metres).alias("equivalent"))
+    values = {"minutes": F.greatest("a_transfer_min", "b_transfer_min", walk_minutes(F.col("metres"))), "equivalent": F.col("metres") < equal_metres}
+    pairs = within(own, own, metres, where="a_src <> b_src", values=values)
+    return pairs.select(F.col("a_location_id").alias("from_id"), F.col("b_location_id").alias("to_id"), "minutes", "equivalent")
 
 
 def same_place(locations: DataFrame, metres: float = 200.0) -> DataFrame:
-    """(from_id, to_id, minutes): stops of equal name or parent within the distance, two minutes at least."""
+    """(from_id, to_id, minutes): stops of equal name or parent within the distance, two minutes at least.
+
+    Pairs of one name are found by name, those of one parent that differ in their names by parent."""
     own = locations.select("location_id", "lat", "lng", "name", F.coalesce("parent_id", "location_id").alias("root"))
-    pairs = within(own, own, metres).where("a_location_id <> b_location_id and (a_name = b_name or a_root = b_root)")
-    return pairs.select(F.col("a_location_id").alias("from_id"), F.col("b_location_id").alias("to_id"), F.greatest(F.lit(2).cast("long"), walk_minutes(F.col("metres"))).alias("minutes"))
+    values = {"minutes": F.greatest(F.lit(2).cast("long"), walk_minutes(F.col("metres")))}
+    columns = [F.col("a_location_id").alias("from_id"), F.col("b_location_id").alias("to_id"), "minutes"]
+    named = within(own.drop("root"), own.drop("root"), metres, ["name"], values=values).select(*columns)
+    family = within(own, own, metres, ["root"], where="not coalesce(a_name = b_name, false)", values=values).select(*columns)
+    return named.unionByName(family).where("from_id <> to_id")
 
 
 def closed(footpaths: DataFrame, locations: DataFrame, longest: int = 15) -> DataFrame:
