@@ -125,3 +125,10 @@ def test_one_place_is_joined_once(spark):
     with nothing_sent(spark):
         rows, n = moved(spark, footpaths.linked(stops(spark, 400), 300.0))
     assert len(rows) == 2 * sum((i % 3 == 2) == (j % 3 == 2) for i in range(0, 400, 2) for j in range(1, 400, 2)) and n < 1000
+
+
+def test_pairs_of_one_place_need_no_shuffle(spark):
+    own = stops(spark, 400).select("location_id", "lat", "lng")
+    with nothing_sent(spark):
+        rows, n = moved(spark, footpaths.within(own, own, 2000.0, values={"metres": F.round("metres", 3)}).where("a_location_id < b_location_id"))
+    assert len({(r.a_location_id, r.b_location_id) for r in rows}) == len(rows) == 400 * 399 // 2 and n < 1000

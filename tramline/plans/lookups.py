@@ -205,8 +205,8 @@ _FAR = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2)
 @query("locations", f"SELECT a.location_id AS a, b.location_id AS b, round({_FAR}, 3) AS metres FROM locations a, locations b WHERE a.location_id < b.location_id AND {_FAR} <= 2000")
 def radius_join(d: Derived) -> DataFrame:
     own = d.locations.select("location_id", "lat", "lng")
-    pairs = footpaths.within(own, own, 2000.0).where("a_location_id < b_location_id")
-    return pairs.select(F.col("a_location_id").alias("a"), F.col("b_location_id").alias("b"), F.round("metres", 3).alias("metres"))
+    pairs = footpaths.within(own, own, 2000.0, values={"metres": F.round("metres", 3)}).where("a_location_id < b_location_id")
+    return pairs.select(F.col("a_location_id").alias("a"), F.col("b_location_id").alias("b"), "metres")
 
 
 @query("events_on", """m AS (SELECT trip_id AS message_id, location_id, dep + trip_id % 7 AS time FROM events_on),
