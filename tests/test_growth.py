@@ -132,3 +132,11 @@ def test_pairs_of_one_place_need_no_shuffle(spark):
     with nothing_sent(spark):
         rows, n = moved(spark, footpaths.within(own, own, 2000.0, values={"metres": F.round("metres", 3)}).where("a_location_id < b_location_id"))
     assert len({(r.a_location_id, r.b_location_id) for r in rows}) == len(rows) == 400 * 399 // 2 and n < 1000
+
+
+def test_equal_names_or_parents_once(spark):
+    own = stops(spark, 400).withColumn("parent_id", F.when(F.col("location_id") % 5 != 0, F.col("location_id") - F.col("location_id") % 5))
+    with nothing_sent(spark):
+        rows, n = moved(spark, footpaths.same_place(own, 300.0))
+    expected = {(i, j) for i in range(400) for j in range(400) if i != j and (i % 2 == j % 2 or i // 5 == j // 5) and (i % 3 == 2) == (j % 3 == 2)}
+    assert {(r.from_id, r.to_id) for r in rows} == expected and len(rows) == len(expected) and n < 3000
