@@ -6,7 +6,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from tramline.operators import calendar, fares, footpaths, matching, requests, routes
+from tramline.operators import alerts, assistance, calendar, fares, footpaths, matching, requests, rides, routes
 
 
 def moved(spark, df):
@@ -101,7 +101,7 @@ def test_least_hashes_are_aggregated_in_place(spark):
 
 
 def test_days_of_a_trip_are_one_row(spark):
-    a = spark.range(100).select(F.col("id").alias("trip_id"), F.explode(F.sequence(F.lit(0), F.lit(13))).cast("long").alias("day"))
+    a = spark.range(100).select(F.col("id").alias("trip_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(13).cast("long"))).alias("day"))
     b = a.where("(trip_id + day) % 2 = 0").unionByName(a.where("trip_id < 3 and day = 0").select("trip_id", (F.col("day") + 50).alias("day")))
     with nothing_sent(spark):
         rows, n = moved(spark, calendar.combined(a.where("day < 9"), b, ("and", "andnot", "or")))
@@ -137,6 +137,18 @@ def test_pairs_of_one_place_need_no_shuffle(spark):
 def test_equal_names_or_parents_once(spark):
     own = stops(spark, 400).withColumn("parent_id", F.when(F.col("location_id") % 5 != 0, F.col("location_id") - F.col("location_id") % 5))
     with nothing_sent(spark):
-        rows, n = moved(spark, footpaths.same_place(own, 300.0))
+        found = footpaths.same_place(own, 300.0)
+        rows, _ = moved(spark, found)
+    # Name and parent are keys of the joins, not a condition on all pairs that are near.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "(__name" in plan and "(__root" in plan
     expected = {(i, j) for i in range(400) for j in range(400) if i != j and (i % 2 == j % 2 or i // 5 == j // 5) and (i % 3 == 2) == (j % 3 == 2)}
-    assert {(r.from_id, r.to_id) for r in rows} == expected and len(rows) == len(expected) and n < 3000
+    assert {(r.from_id, r.to_id) for r in rows} == expected and len(rows) == len(expected)
+
+
+def test_alerts_of_equal_stops(spark):
+    stops = spark.createDataFrame([(i, 0, 6, 1, 9, 8) for i in range(300)], "trip_id long, stop_seq long, route_id long, agency_id long, location_id long, parent_id long")
+    named = spark.createDataFrame([(i, 7 if i < 2 else None, 6 if i % 2 else None, 1, None, 8 if i % 3 else 9) for i in range(300)] + [(5, None, None, None, None, 9)], "alert_id long, trip_id long, route_id long, agency_id long, route_type long, location_id long")
+    with nothing_sent(spark):
+        rows, n = moved(spark, alerts.holding(stops, alerts.selectors(named)))
+    assert sorted((r.trip_id, r.alert_id) for r in rows) == [(t, a) for t in range(300) for a in range(300) if a >= 2 or t == 7] and n < 4000
