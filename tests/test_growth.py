@@ -152,3 +152,16 @@ def test_alerts_of_equal_stops(spark):
     with nothing_sent(spark):
         rows, n = moved(spark, alerts.holding(stops, alerts.selectors(named)))
     assert sorted((r.trip_id, r.alert_id) for r in rows) == [(t, a) for t in range(300) for a in range(300) if a >= 2 or t == 7] and n < 4000
+
+
+def calls(spark, rows):
+    return spark.createDataFrame(rows, "trip_id long, stop_seq long, location_id long, arr long, dep long, route_id long").withColumns({"in_allowed": F.lit(True), "out_allowed": F.lit(True)})
+
+
+def test_rides_at_other_times_are_not_moved(spark):
+    own = calls(spark, [(t, s, 1 + s, 20 * t + 5 * s, 20 * t + 5 * s, 0) for t in range(1000) for s in (0, 1)])
+    asked = spark.createDataFrame([(q, 1, 2, 20 * q, 20 * q + 6) for q in range(50)], "query_id long, from_id long, to_id long, ready long, latest long")
+    walks = spark.createDataFrame([(1, 3, 1), (3, 1, 1), (2, 4, 1), (4, 2, 1)], "from_id long, to_id long, minutes long")
+    with nothing_sent(spark):
+        rows, n = moved(spark, rides.earliest_between(asked, own, walks))
+    assert sorted((r.query_id, r.trip_id, r.board_seq, r.alight_seq, r.arr) for r in rows) == [(q, q, 0, 1, 20 * q + 5) for q in range(50)] and n < 8000

@@ -77,15 +77,25 @@ def transfers(stop_events: DataFrame, locations: DataFrame, footpaths: DataFrame
     return first.groupBy("from_trip", "from_seq", "x.to_trip", "x.to_seq").agg(F.min(F.col("x.dep") - F.col("x.ready")).alias("wait"))
 
 
-def earliest_between(asked: DataFrame, stop_events: DataFrame, footpaths: DataFrame) -> DataFrame:
+def earliest_between(asked: DataFrame, stop_events: DataFrame, footpaths: DataFrame, cell: int = 60) -> DataFrame:
     """(query_id, trip_id, board_seq, alight_seq, dep, arr): for each of asked (query_id, from_id, to_id, ready, latest) the ride that is at to_id
-    earliest, and by latest: over a footpath or none at each end. Such a ride may take the place of the middle leg of three."""
+    earliest, and by latest: over a footpath or none at each end. Such a ride may take the place of the middle leg of three.
+
+    Rides no longer than the longest time that any query has are set against queries by stop and cell of so many minutes. A query carries the stops from which one walks
+    to its end, so that a ride to elsewhere is dropped at once.
+    """
     walk = footpaths.select("from_id", "to_id", "minutes")
-    ahead = asked.select("query_id", F.col("from_id").alias("board_id"), "ready", "latest").unionByName(asked.join(walk.withColumnRenamed("to_id", "board_id"), "from_id").select("query_id", "board_id", (F.col("ready") + F.col("minutes")).alias("ready"), "latest"))
-    behind = asked.select("query_id", F.col("to_id").alias("alight_id"), F.lit(0).cast("long").alias("more"), "latest").unionByName(asked.join(walk.withColumnRenamed("from_id", "alight_id"), "to_id").select("query_id", "alight_id", F.col("minutes").cast("long").alias("more"), "latest"))
+    back = walk.groupBy("to_id").agg(F.collect_list(F.struct(F.col("from_id").alias("id"), F.col("minutes").cast("long").alias("more"))).alias("__back"))
+    own = asked.where("ready <= latest").join(back, "to_id", "left")
+    ends = F.concat(F.array(F.struct(F.col("to_id").alias("id"), F.lit(0).cast("long").alias("more"))), F.coalesce("__back", F.array().cast(back.schema["__back"].dataType)))
+    own = own.select("query_id", "from_id", F.col("ready").cast("long").alias("ready"), "latest", ends.alias("ends"))
+    ahead = own.withColumnRenamed("from_id", "board_id").unionByName(own.join(walk.withColumnRenamed("to_id", "board_id"), "from_id").select("query_id", "board_id", (F.col("ready") + F.col("minutes")).alias("ready"), "latest", "ends"))
+    ahead = ahead.where("ready <= latest").withColumn("cell", F.explode(F.sequence(F.floor(F.col("ready") / cell), F.floor(F.col("latest") / cell))))
+    longest = asked.agg(F.max(F.col("latest") - F.col("ready")).alias("__longest"))
     on = stop_events.where("in_allowed").select("trip_id", F.col("stop_seq").alias("board_seq"), F.col("location_id").alias("board_id"), "dep")
-    boarded = ahead.join(on, "board_id").where("dep >= ready and dep <= latest").groupBy("query_id", "trip_id").agg(F.min("board_seq").alias("first"))
     off = stop_events.where("out_allowed").select("trip_id", F.col("stop_seq").alias("alight_seq"), F.col("location_id").alias("alight_id"), "arr")
-    there = behind.join(off, "alight_id").join(boarded, ["query_id", "trip_id"]).where("alight_seq > first and arr + more <= latest")
-    one = there.groupBy("query_id").agg(F.min(F.struct((F.col("arr") + F.col("more")).alias("arr"), "trip_id", F.col("first").alias("board_seq"), "alight_seq")).alias("x")).select("query_id", "x.*")
-    return one.join(stop_events.select("trip_id", F.col("stop_seq").alias("board_seq"), "dep"), ["trip_id", "board_seq"]).select("query_id", "trip_id", "board_seq", "alight_seq", "dep", "arr")
+    rode = on.crossJoin(F.broadcast(longest)).join(off, "trip_id").where("alight_seq > board_seq and arr - dep <= __longest").drop("__longest").withColumn("cell", F.floor(F.col("dep") / cell))
+    met = ahead.join(rode, ["board_id", "cell"]).where("dep >= ready and arr <= latest")
+    met = met.withColumn("e", F.explode(F.filter("ends", lambda e: (e["id"] == F.col("alight_id")) & (F.col("arr") + e["more"] <= F.col("latest")))))
+    one = met.groupBy("query_id").agg(F.min(F.struct((F.col("arr") + F.col("e.more")).alias("arr"), "trip_id", "board_seq", "alight_seq", "dep")).alias("x"))
+    return one.select("query_id", "x.trip_id", "x.board_seq", "x.alight_seq", "x.dep", "x.arr")
