@@ -165,3 +165,12 @@ def test_rides_at_other_times_are_not_moved(spark):
     with nothing_sent(spark):
         rows, n = moved(spark, rides.earliest_between(asked, own, walks))
     assert sorted((r.query_id, r.trip_id, r.board_seq, r.alight_seq, r.arr) for r in rows) == [(q, q, 0, 1, 20 * q + 5) for q in range(50)] and n < 8000
+
+
+def test_arrivals_are_moved_once_a_walk(spark):
+    own = calls(spark, [(t, s, s, 3 * t + 4 * s, 3 * t + 4 * s, t % 2) for t in range(100) for s in (0, 1)] + [(1000 + i, s, 10 + i + 100 * s, 50 + 4 * s, 50 + 4 * s, 7) for i in range(20) for s in (0, 1)])
+    places = spark.createDataFrame([(i, 2) for i in range(200)], "location_id long, transfer_min long")
+    walks = spark.createDataFrame([(1, 10 + i, 3) for i in range(20)], "from_id long, to_id long, minutes long")
+    with nothing_sent(spark):
+        rows, n = moved(spark, rides.transfers(own, places, walks, 15, uturns=True))
+    assert sorted((r.from_trip, r.to_trip, r.wait) for r in rows) == [(t, 1000 + i, 43 - 3 * t) for t in range(100) for i in range(20) if 0 <= 43 - 3 * t < 15] and n < 3500

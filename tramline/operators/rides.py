@@ -61,19 +61,24 @@ def transfers(stop_events: DataFrame, locations: DataFrame, footpaths: DataFrame
     """(from_trip, from_seq, to_trip, to_seq, wait): from each arrival, over the stop's transfer time or a footpath, the first departure
     of each route within so many minutes. A change that only goes back where the trip came from is left out.
 
-    Departures are cut into cells of that many minutes, so the range join is an equi-join on (location, cell).
+    Departures are cut into cells of that many minutes, so the range join is an equi-join on (location, cell). They lie in their cell and the one
+    before, so an arrival, which lies in one, sees all that it may take there and its first departures are picked before anything is moved on.
     """
     w = Window.partitionBy("trip_id").orderBy("stop_seq")
     own = stop_events.withColumn("before", F.lag("location_id").over(w)).withColumn("after", F.lead("location_id").over(w))
-    arrivals = own.where("out_allowed and stop_seq > 0").select(F.col("trip_id").alias("from_trip"), F.col("stop_seq").alias("from_seq"), "location_id", "arr", "before", F.col("route_id").alias("from_route"))
+    arrivals = own.where("out_allowed and stop_seq > 0").select(F.col("trip_id").alias("from_trip"), F.col("stop_seq").alias("from_seq"), "location_id", "arr", "before")
     stay = locations.select("location_id", F.col("location_id").alias("to_id"), F.col("transfer_min").alias("minutes"))
     walk = footpaths.select(F.col("from_id").alias("location_id"), "to_id", "minutes")
-    ready = arrivals.join(stay.unionByName(walk), "location_id").withColumn("ready", F.col("arr") + F.col("minutes")).withColumn("cell", F.explode(F.array(F.floor(F.col("ready") / most), F.floor(F.col("ready") / most) + 1)))
-    leaving = own.where("in_allowed and after is not null").select(F.col("trip_id").alias("to_trip"), F.col("stop_seq").alias("to_seq"), F.col("location_id").alias("to_id"), "dep", "after", F.col("route_id").alias("to_route"), F.floor(F.col("dep") / most).alias("cell"))
+    at = F.floor((F.col("arr") + F.col("minutes")) / most)
+    ready = arrivals.join(stay.unionByName(walk), "location_id").select("to_id", at.alias("cell"), "from_trip", "from_seq", (F.col("arr") + F.col("minutes")).alias("ready"), "before")
+    on = F.floor(F.col("dep") / most)
+    leaving = own.where("in_allowed and after is not null").select(F.col("trip_id").alias("to_trip"), F.col("stop_seq").alias("to_seq"), F.col("location_id").alias("to_id"), "dep", "after", F.col("route_id").alias("to_route"), F.explode(F.array(on, on - 1)).alias("cell"))
     pairs = ready.join(leaving, ["to_id", "cell"]).where(f"dep >= ready and dep - ready < {most} and from_trip <> to_trip")
     if not uturns:
         pairs = pairs.where("not (before <=> after)")
-    first = pairs.groupBy("from_trip", "from_seq", "to_id", "to_route").agg(F.min(F.struct("dep", "to_trip", "to_seq", "ready")).alias("x"))
+    # The keys of the join lead, so it is grouped where it lies; a change over several walks to one stop is then met in the trips' rows.
+    near = pairs.groupBy("to_id", "cell", "from_trip", "from_seq", "to_route").agg(F.min(F.struct("dep", "to_trip", "to_seq", "ready")).alias("x"))
+    first = near.repartition("from_trip", "from_seq").groupBy("from_trip", "from_seq", "to_id", "to_route").agg(F.min("x").alias("x"))
     return first.groupBy("from_trip", "from_seq", "x.to_trip", "x.to_seq").agg(F.min(F.col("x.dep") - F.col("x.ready")).alias("wait"))
 
 
