@@ -186,3 +186,12 @@ def test_days_make_no_rows_of_calls(spark):
     expected = {("1111", "1100"): [0, 7], ("1101", "1100"): [2, 9], ("0001", "1000"): [1, 3, 4, 5, 6, 8, 10, 11, 12, 13]}
     assert sorted((r.trip_id, r.boarding, r.alighting, r.days) for r in rows) == sorted((t, *way, d) for t in range(40) for way, d in expected.items())
     assert n < 1500
+
+
+def test_turns_back_are_dropped_before_anything_is_moved(spark):
+    """Trips go from 1 to 2, others back from 2 to 1 or on to 3."""
+    own = calls(spark, [(t, s, 1 + s, 5 * s, 5 * s, t) for t in range(60) for s in (0, 1)] + [(1000 + t, s, 2 - s if t % 2 else 2 + s, 10 + 5 * s, 10 + 5 * s, 7) for t in range(60) for s in (0, 1)])
+    places = spark.createDataFrame([(i, 2) for i in range(4)], "location_id long, transfer_min long")
+    with nothing_sent(spark):
+        rows, n = moved(spark, rides.transfers(own, places, spark.createDataFrame([], "from_id long, to_id long, minutes long"), 15))
+    assert sorted((r.from_trip, r.to_trip, r.wait) for r in rows) == [(t, 1000, 3) for t in range(60)] and n < 1000
