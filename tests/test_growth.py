@@ -6,7 +6,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from tramline.operators import alerts, assistance, calendar, fares, footpaths, matching, requests, rides, routes
+from tramline.operators import alerts, assistance, calendar, fares, footpaths, matching, realtime, requests, rides, routes
 
 
 def moved(spark, df):
@@ -194,4 +194,13 @@ def test_turns_back_are_dropped_before_anything_is_moved(spark):
     places = spark.createDataFrame([(i, 2) for i in range(4)], "location_id long, transfer_min long")
     with nothing_sent(spark):
         rows, n = moved(spark, rides.transfers(own, places, spark.createDataFrame([], "from_id long, to_id long, minutes long"), 15))
-    assert sorted((r.from_trip, r.to_trip, r.wait) for r in rows) == [(t, 1000, 3) for t in range(60)] and n < 1000
+    assert sorted((r.from_trip, r.to_trip, r.wait) for r in rows) == [(t, 1000, 3) for t in range(60)] and n < 2000
+
+
+def test_runs_of_a_route_are_not_moved_again(spark):
+    trips = spark.createDataFrame([(t, 1, 100) for t in range(300)], "trip_id long, route_id long, start_time long")
+    days = spark.createDataFrame([(t, d) for t in range(300) for d in (t % 2, t % 2, 5)], "trip_id long, day long")
+    asked = spark.createDataFrame([(e, None, 1, 1540, e % 2) for e in range(300)] + [(900, 4, 1, 0, 0), (901, 4, 1, 0, 1), (902, 999, 1, 0, 0)], "event_id long, trip_id long, route_id long, start_time long, day long")
+    with nothing_sent(spark):
+        rows, n = moved(spark, realtime.resolved(asked, trips, days))
+    assert sorted((r.event_id, r.trip_id) for r in rows) == [(e, t) for e in range(300) for t in range(300) if e % 2 == t % 2] + [(900, 4)] and n < 10_000
