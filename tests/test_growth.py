@@ -6,7 +6,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from tramline.operators import alerts, assistance, calendar, fares, footpaths, matching, realtime, requests, rides, routes
+from tramline.operators import alerts, all_stops, assistance, calendar, fares, footpaths, journeys, matching, realtime, requests, rides, routes
 
 
 def moved(spark, df):
@@ -204,3 +204,25 @@ def test_runs_of_a_route_are_not_moved_again(spark):
     with nothing_sent(spark):
         rows, n = moved(spark, realtime.resolved(asked, trips, days))
     assert sorted((r.event_id, r.trip_id) for r in rows) == [(e, t) for e in range(300) for t in range(300) if e % 2 == t % 2] + [(900, 4)] and n < 10_000
+
+
+def test_all_stops_as_queries_move_rides_only(spark, monkeypatch):
+    """Trips that board anywhere for nearly every query: labels are no rows that are moved. Results are those of the search by rounds."""
+    r = random.Random(7)
+    rows = []
+    for t in range(1000):
+        at = r.randrange(0, 900)
+        for s in range(r.randrange(1, 6)):
+            arr, at = at, at + r.randrange(3)
+            rows.append((t, s, r.randrange(60), arr, at, r.random() < 0.7, r.random() < 0.8))
+            at += r.randrange(1, 30)
+    own = spark.createDataFrame(rows, "trip_id long, stop_seq long, location_id long, arr long, dep long, in_allowed boolean, out_allowed boolean")
+    places = spark.createDataFrame([(i, 2 + i % 3) for i in range(60)], "location_id long, transfer_min long")
+    walks = spark.createDataFrame([(i, j, 3 + i % 4) for i in range(60) for j in (i - 1, i + 1) if 0 <= j < 60], "from_id long, to_id long, minutes long")
+    starts = spark.createDataFrame([(f"q{i}", i, 20 * (i % 20)) for i in range(60)] + [("q5", 7, 100)], "query_id string, location_id long, time long")
+    search = journeys.Search(own, places, walks, max_travel=400)
+    monkeypatch.setattr(all_stops, "LEAST", 16)
+    for most in (1, 3):
+        expected = sorted(map(tuple, journeys.one_to_all(journeys.rounds(search, starts, most)).collect()))
+        rows, n = moved(spark, all_stops.fastest(search, starts, most))
+        assert sorted(map(tuple, rows)) == expected and len(expected) > 300 and n < 12_000
