@@ -6,6 +6,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from tramline.functions import storage
 from tramline.operators import alerts, all_stops, assistance, calendar, fares, footpaths, journeys, matching, realtime, requests, rides, routes
 
 
@@ -226,3 +227,15 @@ def test_all_stops_as_queries_move_rides_only(spark, monkeypatch):
         expected = sorted(map(tuple, journeys.one_to_all(journeys.rounds(search, starts, most)).collect()))
         rows, n = moved(spark, all_stops.fastest(search, starts, most))
         assert sorted(map(tuple, rows)) == expected and len(expected) > 300 and n < 12_000
+
+
+def test_trips_are_sorted_in_more_partitions_of_a_larger_table(spark, tmp_path):
+    spark.range(200_000).select(F.col("id").alias("k"), F.xxhash64("id").alias("v")).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    size = sum(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet"))
+    parts = storage.spread(table, "k", size // 9)
+    assert parts.rdd.getNumPartitions() in (9, 10) and parts.distinct().count() == 200_000
+    assert storage.spread(table, "k").rdd.getNumPartitions() == table.rdd.getNumPartitions()
+    # What is grouped by the key afterwards isn't moved again.
+    plan = parts.groupBy("k").agg(F.max("v"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
