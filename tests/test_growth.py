@@ -239,3 +239,11 @@ def test_trips_are_sorted_in_more_partitions_of_a_larger_table(spark, tmp_path):
     # What is grouped by the key afterwards isn't moved again.
     plan = parts.groupBy("k").agg(F.max("v"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_messages_are_folded_once(spark):
+    own = calls(spark, [(t, s, 10 + s % 3, 10 * s, 10 * s, 0) for t in range(20) for s in range(6)])
+    asked = spark.createDataFrame([(100 * t + i, t, i, seq, at) for t in range(21) for i, (seq, at) in enumerate([(None, 11), (0, None), (None, 11), (None, 99), (5, None)])], "event_id long, trip_id long, position long, stop_seq long, location_id long")
+    found = realtime.matched_stops(asked, own)
+    assert sorted((r.event_id, r.stop_seq, r.at_id) for r in found.collect()) == [(100 * t + i, s, 10 + s % 3) for t in range(20) for i, s in ((0, 1), (2, 4), (4, 5))]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tramline.functions.storage import written
 from tramline.operators import realtime
 from tramline.plans.derived import Derived
 from tramline.plans.registry import query
@@ -98,20 +99,26 @@ _MESSAGES = """n AS (SELECT count(*) AS stops FROM supplier),
     met AS (SELECT msg.*, hit AS stop_seq, l.arr + delay AS due FROM walk JOIN msg USING (trip_id, position) JOIN line l ON l.trip_id = walk.trip_id AND l.stop_seq = hit)"""
 
 
-def _messages(d: Derived) -> DataFrame:
+def _messages(d: Derived, stop_times: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     k = F.col("event_id")
     count = d.table("supplier").agg(F.count("*").alias("n"))
-    named = d.stop_times.select("trip_id", "stop_seq", "location_id")
+    named = stop_times.select("trip_id", "stop_seq", "location_id")
     own = d.updates.join(named, ["trip_id", "stop_seq"], "left").crossJoin(F.broadcast(count)).withColumn("position", F.row_number().over(Window.partitionBy("trip_id").orderBy("event_id")).cast("long"))
     return own.select(k, "trip_id", "position", F.when(k % 3 == 0, F.col("stop_seq")).alias("stop_seq"), F.when(k % 3 != 0, F.coalesce("location_id", k % F.col("n"))).alias("location_id"), F.when(k % 5 < 2, F.col("delay") - 5).alias("arr_delay"), F.when((k % 5).isin(1, 2), F.col("delay")).alias("dep_delay"), (k % 5 == 3).alias("timed"), "kind", "delay")
 
 
+def _planned(d: Derived) -> DataFrame:
+    """The stop times, which are read several times, sorted once."""
+    return written(d.stop_times.drop("bike_section"), "stop_times")
+
+
 @query("updates stop_times", "RECURSIVE " + _MESSAGES + " SELECT event_id, trip_id, stop_seq FROM met")
 def rt_cursor(d: Derived) -> DataFrame:
     """Messages and the stops that they mean; what fits no stop behind the one before is dropped."""
-    return realtime.matched_stops(_messages(d).select("event_id", "trip_id", "position", "stop_seq", "location_id"), d.stop_times).select("event_id", "trip_id", "stop_seq")
+    stops = _planned(d)
+    return realtime.matched_stops(_messages(d, stops).select("event_id", "trip_id", "position", "stop_seq", "location_id"), stops).select("event_id", "trip_id", "stop_seq")
 
 
 _RETIMED = _MESSAGES + """, per AS (SELECT trip_id, stop_seq, max(arr_delay) AS arr_delay, max(dep_delay) AS dep_delay, max(CASE WHEN timed THEN due END) AS arr_time FROM met GROUP BY 1, 2),
@@ -127,11 +134,12 @@ _RETIMED = _MESSAGES + """, per AS (SELECT trip_id, stop_seq, max(arr_delay) AS
 @query("updates stop_times", "RECURSIVE " + _RETIMED + " SELECT trip_id, e AS event, shown AS time FROM go WHERE e >= 0")
 def rt_absolute(d: Derived) -> DataFrame:
     """Delays and absolute times of messages carried along their trips; event 2i is the departure of stop i, 2i - 1 its arrival."""
-    own = _messages(d)
-    found = realtime.matched_stops(own.select("event_id", "trip_id", "position", "stop_seq", "location_id"), d.stop_times)
-    met = found.join(own.drop("stop_seq", "location_id", "position"), ["event_id", "trip_id"]).join(d.stop_times.select("trip_id", "stop_seq", "arr"), ["trip_id", "stop_seq"])
-    new = realtime.retimed(d.stop_times, met.select("trip_id", "stop_seq", "arr_delay", "dep_delay", F.when(F.col("timed"), F.col("arr") + F.col("delay")).alias("arr_time"), F.lit(None).cast("long").alias("dep_time")))
-    last = new.groupBy("trip_id").agg(F.max("stop_seq").alias("last"))
+    stops = _planned(d)
+    own = written(_messages(d, stops), "messages")
+    found = realtime.matched_stops(own.select("event_id", "trip_id", "position", "stop_seq", "location_id"), stops)
+    met = written(found.join(own.drop("stop_seq", "location_id", "position"), ["event_id", "trip_id"]).join(stops.select("trip_id", "stop_seq", "arr"), ["trip_id", "stop_seq"]), "matched")
+    new = realtime.retimed(stops, met.select("trip_id", "stop_seq", "arr_delay", "dep_delay", F.when(F.col("timed"), F.col("arr") + F.col("delay")).alias("arr_time"), F.lit(None).cast("long").alias("dep_time")))
+    last = stops.groupBy("trip_id").agg(F.max("stop_seq").alias("last"))
     rows = new.join(last, "trip_id").select("trip_id", "last", "stop_seq", F.explode(F.array(F.struct((2 * F.col("stop_seq")).alias("event"), F.col("dep").alias("time")), F.struct((2 * F.col("stop_seq") - 1).alias("event"), F.col("arr").alias("time")))).alias("x"))
     return rows.where("x.event >= 0 and (x.event < 2 * last or last = 0)").select("trip_id", "x.event", "x.time")
 
@@ -142,15 +150,15 @@ def rt_absolute(d: Derived) -> DataFrame:
     SELECT trip_id, stop_seq, CASE WHEN NOT skipped AND location_id % 5 = 1 AND EXISTS (SELECT 1 FROM met WHERE met.trip_id = rest.trip_id AND met.stop_seq = rest.stop_seq) AND location_id + 1 IN (SELECT location_id FROM pl) THEN location_id + 1 ELSE location_id END AS location_id, gone OR n <= 1 AS cancelled, in_allowed AND NOT skipped AND NOT (gone OR n <= 1) AS in_allowed FROM rest""")
 def rt_skip_track_cancel(d: Derived) -> DataFrame:
     """What messages do to stops: skipped ones, tracks that change to the next stop of the station, and trips that are cancelled."""
-    own = _messages(d)
-    named = d.stop_times.select("trip_id", F.col("stop_seq").alias("s"), F.col("location_id").alias("planned"))
-    found = realtime.matched_stops(own.select("event_id", "trip_id", "position", "stop_seq", "location_id"), d.stop_times).select("event_id", "trip_id", F.col("at_id"))
+    stops = _planned(d)
+    own = written(_messages(d, stops), "messages")
+    found = realtime.matched_stops(own.select("event_id", "trip_id", "position", "stop_seq", "location_id"), stops).select("event_id", "trip_id", F.col("at_id"))
     own = own.join(found, ["event_id", "trip_id"], "left")
     no = F.lit(None).cast("long")
     asked = own.select("event_id", "trip_id", "position", "stop_seq", "location_id", "arr_delay", "dep_delay", no.alias("arr_time"), no.alias("dep_time"), (F.col("kind") == "error").alias("skipped"), ((F.col("kind") == "purchase") & (F.col("delay") > 17)).alias("cancelled"), F.when(F.col("at_id") % 5 == 1, F.col("at_id") + 1).alias("assigned_id"))
     tree = d.locations.select("location_id", F.coalesce("parent_id", "location_id").alias("root"))
     same = tree.join(tree.withColumnRenamed("location_id", "other_id"), "root").where("location_id <> other_id").select("location_id", "other_id")
-    return realtime.run_updates(d.stop_times, asked, same).select("trip_id", "stop_seq", "location_id", "cancelled", "in_allowed")
+    return realtime.run_updates(stops, written(asked, "asked"), same).select("trip_id", "stop_seq", "location_id", "cancelled", "in_allowed")
 
 
 _NEW = "x AS (SELECT trip_id, stop_seq, location_id + CASE WHEN trip_id % 11 = 0 AND stop_seq = 1 THEN 1000000 ELSE 0 END AS location_id, CASE WHEN stop_seq % 2 = 0 THEN arr::BIGINT END AS a, CASE WHEN trip_id % 13 <> 0 OR stop_seq > 0 THEN dep::BIGINT - trip_id % 3 END AS d FROM stop_times)"
