@@ -279,3 +279,31 @@ def test_likely_runs_equal_those_of_all_pairs(spark):
             expected += [(m, str(t), round(x, 9)) for t, x in scores.items() if x >= max(scores.values()) * top]
         found = matching.likely_runs(messages, own, tolerance, least, top).collect()
         assert sorted((x.message_id, str(x.trip_id), round(x.score, 9)) for x in found) == sorted(expected) and len(expected) > 20
+
+
+def test_first_departures_are_found_without_sorting_pairs(spark):
+    """Trips call at few stops again and again, so that a route's first departure often is of the trip that one comes with; with one walk between two stops, and with several."""
+    r = random.Random(5)
+    rows = []
+    for t in range(60):
+        at = r.randrange(0, 60)
+        for s in range(r.randrange(2, 7)):
+            arr, at = at, at + r.randrange(2)
+            rows.append((t, s, r.randrange(4), arr, at, r.choice([0, 1, None]), r.random() < 0.8, r.random() < 0.8))
+            at += r.randrange(0, 6)
+    own = spark.createDataFrame(rows, "trip_id long, stop_seq long, location_id long, arr long, dep long, route_id long, in_allowed boolean, out_allowed boolean")
+    places = spark.createDataFrame([(i, 1 + i % 2) for i in range(4)], "location_id long, transfer_min long")
+    last = {t: max(x[1] for x in rows if x[0] == t) for t in range(60)}
+    for walks in ([(0, 1, 3), (1, 0, 2), (2, 3, 4)], [(0, 1, 3), (0, 1, 9), (0, 1, 30), (2, 2, 5), (1, 0, 2)]):
+        first = {}
+        for t, s, at, arr, _, _, _, out in rows:
+            for here, there, minutes in [(i, i, 1 + i % 2) for i in range(4)] + walks:
+                for t2, s2, at2, _, dep, route, into, _ in rows:
+                    if out and s > 0 and here == at and at2 == there and into and s2 < last[t2] and t2 != t and 0 <= dep - arr - minutes < 8:
+                        key = (t, s, there, route)
+                        first[key] = min(first.get(key, (10**9,)), (dep, t2, s2, arr + minutes))
+        expected = sorted((t, s, t2, s2, dep - ready) for (t, s, _, _), (dep, t2, s2, ready) in first.items())
+        found = rides.transfers(own, places, spark.createDataFrame(walks, "from_id long, to_id long, minutes long"), 8, uturns=True)
+        assert sorted(map(tuple, found.collect())) == expected and len(expected) > 100
+        if (2, 2, 5) not in walks:
+            assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()

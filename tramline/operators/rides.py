@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A minute before all departures.
+_LONG_AGO = -(1 << 62)
+
 
 def rides(stop_events: DataFrame, boards: DataFrame, section_flag: str | None = None) -> DataFrame:
     """(.., trip_id, board_seq, from_id, dep, alight_seq, to_id, arr) from each of boards (.., trip_id, board_seq) to all later stops.
@@ -73,11 +76,22 @@ def transfers(stop_events: DataFrame, locations: DataFrame, footpaths: DataFrame
     ready = arrivals.join(stay.unionByName(walk), "location_id").select("to_id", at.alias("cell"), "from_trip", "from_seq", (F.col("arr") + F.col("minutes")).alias("ready"), "before")
     on = F.floor(F.col("dep") / most)
     leaving = own.where("in_allowed and after is not null").select(F.col("trip_id").alias("to_trip"), F.col("stop_seq").alias("to_seq"), F.col("location_id").alias("to_id"), "dep", "after", F.col("route_id").alias("to_route"), F.explode(F.array(on, on - 1)).alias("cell"))
-    pairs = ready.join(leaving, ["to_id", "cell"]).where(f"dep >= ready and dep - ready < {most} and from_trip <> to_trip")
-    if not uturns:
-        pairs = pairs.where("not (before <=> after)")
-    # The keys of the join lead, so it is grouped where it lies; a change over several walks to one stop is then met in the trips' rows.
-    near = pairs.groupBy("to_id", "cell", "from_trip", "from_seq", "to_route").agg(F.min(F.struct("dep", "to_trip", "to_seq", "ready")).alias("x"))
+    fits = f"dep >= ready and dep - ready < {most} and from_trip <> to_trip"
+    if uturns:
+        # A departure is the first of its route where the one before it has left when one is ready, or is of the trip that one comes with and the one before that trip has
+        # left: known from the departures alone, so that pairs needn't be sorted to find it.
+        at_stop = Window.partitionBy("to_id", "cell", "to_route").orderBy("dep", "to_trip", "to_seq")
+        leaving = leaving.where("to_trip is not null").repartition("to_id", "cell").withColumns({"__dep": F.lag("dep").over(at_stop), "__trip": F.lag("to_trip").over(at_stop)})
+        other = F.when(F.col("__trip").isNull() | (F.col("__trip") != F.col("to_trip")), F.coalesce(F.col("__dep"), F.lit(_LONG_AGO)))
+        leaving = leaving.withColumn("__other", F.last(other, ignorenulls=True).over(at_stop.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__other", F.lag("__other").over(at_stop))
+        near = ready.join(leaving, ["to_id", "cell"]).where(f"{fits} and (__dep is null or __dep < ready or (__trip = from_trip and __other < ready))")
+        if stay.unionByName(walk).groupBy("location_id", "to_id").count().where("count > 1").isEmpty():
+            return near.groupBy("from_trip", "from_seq", "to_trip", "to_seq").agg(F.min(F.col("dep") - F.col("ready")).alias("wait"))
+        near = near.select("to_id", "from_trip", "from_seq", "to_route", F.struct("dep", "to_trip", "to_seq", "ready").alias("x"))
+    else:
+        pairs = ready.join(leaving, ["to_id", "cell"]).where(f"{fits} and not (before <=> after)")
+        # The keys of the join lead, so it is grouped where it lies; a change over several walks to one stop is then met in the trips' rows.
+        near = pairs.groupBy("to_id", "cell", "from_trip", "from_seq", "to_route").agg(F.min(F.struct("dep", "to_trip", "to_seq", "ready")).alias("x"))
     first = near.repartition("from_trip", "from_seq").groupBy("from_trip", "from_seq", "to_id", "to_route").agg(F.min("x").alias("x"))
     return first.groupBy("from_trip", "from_seq", "x.to_trip", "x.to_seq").agg(F.min(F.col("x.dep") - F.col("x.ready")).alias("wait"))
 
