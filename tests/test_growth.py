@@ -307,3 +307,14 @@ def test_first_departures_are_found_without_sorting_pairs(spark):
         assert sorted(map(tuple, found.collect())) == expected and len(expected) > 100
         if (2, 2, 5) not in walks:
             assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rules_of_a_leg_are_plain_identifiers(spark):
+    keys = "network_id long, from_area long, to_area long, from_timeframe long, to_timeframe long"
+    legs = spark.createDataFrame([(i, 1, 2, 3, None, None) for i in range(20)], f"leg_id long, {keys}")
+    rules = spark.createDataFrame([(i or None, 1, 2, 3, None, None, 0) for i in range(20)], f"rule_id long, {keys}, priority long")
+    found = fares.leg_rules(legs, rules)
+    # No row of one is made for each row of the result.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(" in plan and ".rule_id AS" not in plan.split("explode(")[0]
+    assert {(r.leg_id, r.rule_id) for r in found.collect()} == {(leg, rule or None) for leg in range(20) for rule in range(20)}
